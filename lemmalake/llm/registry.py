@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("top_per_group", "packing", "encoding")
+MODULES = ("top_per_group", "packing", "format_copies", "encoding")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
