@@ -60,18 +60,21 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+def classes(rows: DataFrame, sequence: bool = False) -> tuple[DataFrame, DataFrame]:
     """Of rows (id, text): one row a class of texts with the same words (rep, bag, size), and each record's class (id, rep).
 
-    bag has the words in sorted order; rep is the smallest id. Null ids, null texts and texts without words are left out; a
-    record delivered twice counts once.
+    bag has the words in sorted order; rep is the smallest id. With sequence, seq has the words of one member in their own order.
+    Null ids, null texts and texts without words are left out; a record delivered twice counts once.
     """
-    bag = F.array_sort(words(F.col("text")))
-    rows = rows.where(F.col("id").isNotNull()).select("id", bag.alias("w")).where(F.size("w") > 0)
-    keyed = rows.select("id", F.xxhash64("w").alias("a"), F.xxhash64(F.lit(17), "w").alias("b"), F.array_join("w", " ").alias("bag"), F.size("w").alias("size"))
-    heads = materialize(keyed.groupBy("a", "b").agg(F.min("id").alias("rep"), F.first("bag").alias("bag"), F.first("size").alias("size")), "classes", compression="zstd")
+    rows = rows.where(F.col("id").isNotNull()).select("id", words(F.col("text")).alias("s")).where(F.size("s") > 0)
+    rows = rows.select("id", "s", F.array_sort("s").alias("w"))
+    texts = [F.array_join("w", " ").alias("bag")] + [F.array_join("s", " ").alias("seq")] * sequence
+    keyed = rows.select("id", F.xxhash64("w").alias("a"), F.xxhash64(F.lit(17), "w").alias("b"), F.size("w").alias("size"), *texts)
+    kept = ["bag"] + ["seq"] * sequence
+    heads = keyed.groupBy("a", "b").agg(F.min("id").alias("rep"), F.first("size").alias("size"), *[F.first(c).alias(c) for c in kept])
+    heads = materialize(heads, "classes", compression="zstd")
     members = keyed.select("id", "a", "b").distinct().join(heads.select("a", "b", "rep"), ["a", "b"]).select("id", "rep")
-    return heads.select("rep", "bag", "size"), members
+    return heads.select("rep", "size", *kept), members
 
 
 def histogram(heads: DataFrame) -> np.ndarray:
