@@ -30,7 +30,7 @@ BANDS = tuple((1 if k == 0 else 3 * (ENDS[k - 1] + 1) // 4, e) for k, e in enume
 #: (g, t) that a band can get, by band; all ask for at most as many shared words as the shortest alike texts of the band have.
 CHOICES = (((1, 1),), ((1, 2), (2, 2), (1, 3)), ((4, 2), (8, 2), (3, 3), (4, 3)), *(((a // 8, 2), (a // 5, 2), (a // 12, 3), (a // 8, 3)) for a, _ in BANDS[3:]))
 #: What a candidate pair costs, in signatures.
-PAIR_COST = 4.0
+PAIR_COST = 0.5
 
 
 def words(text: Column) -> Column:
@@ -70,6 +70,7 @@ def classes(rows: DataFrame, sequence: bool = False) -> tuple[DataFrame, DataFra
     rows = rows.select("id", "s", F.array_sort("s").alias("w"))
     texts = [F.array_join("w", " ").alias("bag")] + [F.array_join("s", " ").alias("seq")] * sequence
     keyed = rows.select("id", F.xxhash64("w").alias("a"), F.xxhash64(F.lit(17), "w").alias("b"), F.size("w").alias("size"), *texts)
+    keyed = materialize(keyed, "words", compression="zstd")
     kept = ["bag"] + ["seq"] * sequence
     heads = keyed.groupBy("a", "b").agg(F.min("id").alias("rep"), F.first("size").alias("size"), *[F.first(c).alias(c) for c in kept])
     heads = materialize(heads, "classes", compression="zstd")
@@ -93,22 +94,34 @@ def histogram(heads: DataFrame) -> np.ndarray:
     return out
 
 
+def parity(token: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits a row, each whether an odd number of its tokens fall on it: two rows differ in at least as many tokens as bits."""
+    start = np.cumsum(sizes) - sizes
+    bit = np.uint64(1) << (token & np.uint64(63))
+    high = (token >> np.uint64(6) & np.uint64(1)).astype(bool)
+    one, two = (np.bitwise_xor.reduceat(np.where(side, bit, np.uint64(0)), start) for side in (high, ~high))
+    return one.view(np.int64), two.view(np.int64)
+
+
+def occurrences(h: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """The tokens (word, occurrence) of the words of each row, in which equal words stand together."""
+    place = np.arange(len(h))
+    new = np.append(True, (h[1:] != h[:-1]) | (row[1:] != row[:-1])) if len(h) else np.empty(0, dtype=bool)
+    occurrence = place - np.maximum.accumulate(np.where(new, place, 0))
+    with np.errstate(over="ignore"):
+        return mix(h + occurrence.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
 class Prefixes:
     """The tokens of a batch of bags, each bag's rarest first."""
 
     def __init__(self, bags: pd.Series, counts: np.ndarray) -> None:
         h, self.sizes = word_hashes(bags)
         row = np.repeat(np.arange(len(self.sizes)), self.sizes)
-        # bags are sorted: equal words stand together, so the occurrence is the place in the run
-        place = np.arange(len(h))
-        new = np.append(True, (h[1:] != h[:-1]) | (row[1:] != row[:-1])) if len(h) else np.empty(0, dtype=bool)
-        occurrence = place - np.maximum.accumulate(np.where(new, place, 0))
-        often = counts[(h % np.uint64(BUCKETS)).astype(np.int64)]
-        with np.errstate(over="ignore"):
-            token = mix(h + occurrence.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        token, often = occurrences(h, row), counts[(h % np.uint64(BUCKETS)).astype(np.int64)]  # bags are sorted
         order = np.lexsort((token, often, row))
         self.row, self.token, self.often = row, token[order], often[order]
-        self.place = place - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
+        self.place = np.arange(len(h)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
 
     def prefix(self, least: int) -> np.ndarray:
         """Which tokens are in the prefixes; every row that matters has at least `least` words to share."""
@@ -150,7 +163,8 @@ def allocate(heads: DataFrame, counts: np.ndarray) -> list[tuple[int, int]]:
 
 
 def signatures(heads: DataFrame, counts: np.ndarray, chosen: list[tuple[int, int]]) -> DataFrame:
-    """(sig, rep, size): the t-subsets of the segments of each text's prefix, for each band that it belongs to."""
+    """(sig, rep, size, one, two): the t-subsets of the segments of each text's prefix, for each band that it belongs to, with the
+    text's size and parity bits."""
     sent = heads.sparkSession.sparkContext.broadcast(counts)  # BUCKETS entries
 
     def of_band(p: Prefixes, band: int, low: int, high: int, g: int, t: int) -> tuple[np.ndarray, np.ndarray]:
@@ -174,12 +188,12 @@ def signatures(heads: DataFrame, counts: np.ndarray, chosen: list[tuple[int, int
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in (s for batch in batches for s in slices(batch, "bag")):
             p = Prefixes(b.bag, sent.value)
-            rep, size = b.rep.to_numpy(), b["size"].to_numpy()
+            rep, size, (one, two) = b.rep.to_numpy(), b["size"].to_numpy(), parity(p.token, p.sizes)
             for band, ((low, high), (g, t)) in enumerate(zip(BANDS, chosen, strict=True)):
                 sig, of = of_band(p, band, low, high, g, t)
-                yield pd.DataFrame({"sig": sig.view(np.int64), "rep": rep[of], "size": size[of]})
+                yield pd.DataFrame({"sig": sig.view(np.int64), "rep": rep[of], "size": size[of], "one": one[of], "two": two[of]})
 
-    return heads.mapInPandas(make, "sig long, rep long, size int")
+    return heads.select("rep", "size", "bag").mapInPandas(make, "sig long, rep long, size int, one long, two long")
 
 
 def shared_words(a: pd.Series, b: pd.Series) -> np.ndarray:
@@ -215,9 +229,12 @@ def similar(heads: DataFrame) -> DataFrame:
     """(x, y, common, longer), x < y: all pairs of different classes that are alike."""
     counts = histogram(heads)
     sig = signatures(heads, counts, allocate(heads, counts))
-    a, b = (sig.select("sig", F.col("rep").alias(r), F.col("size").alias(f"size_{r}")) for r in "xy")
-    near = (F.col("x") < F.col("y")) & (4 * F.least("size_x", "size_y") >= 3 * F.greatest("size_x", "size_y"))
-    return alike(a.join(b, "sig").where(near).select("x", "y").distinct(), heads, heads)
+    x, y = (sig.select("sig", *[F.col(c).alias(f"{c}_{r}") for c in ("rep", "size", "one", "two")]) for r in "xy")
+    differ = F.bit_count(F.col("one_x").bitwiseXOR(F.col("one_y"))) + F.bit_count(F.col("two_x").bitwiseXOR(F.col("two_y")))
+    # texts of sizes a and b that share 3/4 of the longer differ in at most a + b - 3/2 max(a, b) tokens
+    near = (F.col("rep_x") < F.col("rep_y")) & (2 * differ <= 2 * (F.col("size_x") + F.col("size_y")) - 3 * F.greatest("size_x", "size_y"))
+    pairs = x.join(y, "sig").where(near).select(F.col("rep_x").alias("x"), F.col("rep_y").alias("y")).distinct()
+    return alike(pairs, heads, heads)
 
 
 def training_records(spark: SparkSession, folder: str) -> DataFrame:
