@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("top_per_group", "packing", "format_copies", "encoding", "similar", "cross_split", "leaks", "truncated")
+MODULES = ("top_per_group", "packing", "format_copies", "encoding", "similar", "cross_split", "leaks", "truncated", "garbled")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
