@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ()
+MODULES = ("selection", "reshape")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
