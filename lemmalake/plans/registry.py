@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("selection", "reshape")
+MODULES = ("selection", "reshape", "extraction", "rewards")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
