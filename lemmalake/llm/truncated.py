@@ -17,41 +17,44 @@ from lemmalake.sources.tables import table
 from lemmalake.storage import materialize
 
 #: What is put after a cut, besides white space.
-MARKERS = r"(\\.\\.\\.|…|\\[\\.\\.\\.\\]|\\[…\\]|\\[truncated\\]|\\[cut\\]|<truncated>|�)"
+MARKERS = ("...", "…", "[...]", "[…]", "[truncated]", "[cut]", "<truncated>", "�")
 
 #: The words with which code outside of a fence begins.
 KEYWORDS = "theorem|lemma|example|def|instance|have"
 
-TOKENS = """
+#: Words with digits as 0, line ends, and other characters.
+TOKEN = r"[\\p{L}_0₀-₉]+(?:\\.[\\p{L}_0]+)*|\\n|[^\\s]"
+
+PARTS = """
     WITH lines AS (
-        SELECT tbl, id, split(regexp_replace(regexp_replace(lower(text), '(\\\\s|{markers})+$', ''),
-            '[\\\\p{{L}}_.]*[0-9][\\\\p{{L}}\\\\p{{N}}_]*', '0'), '```') AS parts
+        SELECT tbl, id, split(regexp_replace(translate(reverse(regexp_replace(reverse(lower(text)), '^(\\\\s|{markers})+', '')),
+            '123456789', '000000000'), '0+', '0'), '```') AS parts
         FROM {rows} WHERE id IS NOT NULL AND text RLIKE '[\\\\p{{L}}\\\\p{{N}}]'),
-    fenced AS (SELECT tbl, id, k % 2 AS fence, k = size(parts) - 1 AS final, part FROM lines LATERAL VIEW posexplode(parts) AS k, part),
-    cut AS (
-        SELECT tbl, id, code, p AS part, final AND (code < 3 OR NOT contains(part, ':=')) AS last FROM fenced LATERAL VIEW inline(
-            if(fence = 0 AND part RLIKE '^\\\\s*({keywords})\\\\b' AND NOT contains(part, ':='), array(named_struct('code', 3, 'p', part)),
-            if(fence = 0 AND contains(part, ':='), array(named_struct('code', 3, 'p', substring_index(part, ':=', 1)), named_struct('code', 2, 'p', substr(part, instr(part, ':=')))),
-               array(named_struct('code', fence, 'p', part))))) AS code, p)
-    SELECT tbl, id, code, last, concat(array('^', '^', '^'),
-        regexp_extract_all(part, '[\\\\p{{L}}_₀-₉]+(?:\\\\.[\\\\p{{L}}_]+)*|\\n|[^\\\\s]', 0), if(last, array(), array('```'))) AS t
-    FROM cut"""
-
-#: All trigrams with how often they stand anywhere (n) and how often they end a text (ends).
+    fenced AS (SELECT tbl, id, k % 2 AS fence, k = size(parts) - 1 AS final, part FROM lines LATERAL VIEW posexplode(parts) AS k, part)
+    SELECT tbl, id, code, p AS part, final AND (code < 3 OR NOT contains(part, ':=')) AS last FROM fenced LATERAL VIEW inline(
+        if(fence = 0 AND part RLIKE '^\\\\s*({keywords})\\\\b' AND NOT contains(part, ':='), array(named_struct('code', 3, 'p', part)),
+        if(fence = 0 AND contains(part, ':='), array(named_struct('code', 3, 'p', substring_index(part, ':=', 1)), named_struct('code', 2, 'p', substr(part, instr(part, ':=')))),
+           array(named_struct('code', fence, 'p', part))))) AS code, p"""
+
+#: How often each trigram stands anywhere. Of its first two tokens hashes are kept: they are compared, but not read.
 SEEN = """
-    WITH threes AS (
-        SELECT code, last, size(t) - 3 AS at, arrays_zip(slice(t, 1, size(t) - 2), slice(t, 2, size(t) - 2), slice(t, 3, size(t) - 2)) AS z FROM {tokens})
-    SELECT code, a, b, c, count(*) AS n, count_if(last AND k = at) AS ends
-    FROM (SELECT code, last, at, k, s.* FROM threes LATERAL VIEW posexplode(z) AS k, s) AS x(code, last, at, k, a, b, c) GROUP BY code, a, b, c"""
+    WITH tokens AS (SELECT code, concat(array('^', '^', '^'), regexp_extract_all(part, '{token}', 0), if(last, array(), array('```'))) AS t FROM {parts})
+    SELECT code, xxhash64(a, b) AS a, xxhash64(b) AS b, c, count(*) AS n FROM tokens LATERAL VIEW inline(
+        arrays_zip(slice(t, 1, size(t) - 2), slice(t, 2, size(t) - 2), slice(t, 3, size(t) - 2))) AS a, b, c GROUP BY ALL"""
 
+#: The last three tokens of each text. They are read from the last 300 characters, unless these have too few.
 ENDS = """
-    SELECT tbl, id, code, t[size(t) - 3] AS a, t[size(t) - 2] AS b, t[size(t) - 1] AS c FROM {tokens} WHERE last"""
+    WITH near AS (SELECT tbl, id, code, part, regexp_extract_all(right(part, 300), '{token}', 0) AS w FROM {parts} WHERE last),
+    tokens AS (SELECT tbl, id, code, concat(array('^', '^', '^'), if(length(part) <= 300 OR size(w) > 3, w, regexp_extract_all(part, '{token}', 0))) AS t FROM near)
+    SELECT tbl, id, code, xxhash64(t[size(t) - 3], t[size(t) - 2]) AS a, xxhash64(t[size(t) - 2]) AS b, t[size(t) - 1] AS c FROM tokens"""
 
 #: n and e count the other places where the tokens stand and those of them that end a text; longer, how often a word that begins
 #: like the last one stands after the same token, inner, how often the last word itself does inside a text.
 FLAGGED = """
-    WITH ended AS (SELECT code, a, b, c, n AS n3, ends AS e3 FROM {seen} WHERE ends > 0),
-    pairs AS (SELECT code, b, c, sum(n) AS n2, sum(ends) AS e2 FROM {seen} GROUP BY code, b, c),
+    WITH last AS (SELECT code, a, b, c, count(*) AS ends FROM {ends} GROUP BY ALL),
+    seen AS (SELECT code, a, b, c, n, coalesce(ends, 0) AS ends FROM {seen} LEFT JOIN last USING (code, a, b, c)),
+    ended AS (SELECT code, a, b, c, n AS n3, ends AS e3 FROM seen WHERE ends > 0),
+    pairs AS (SELECT code, b, c, sum(n) AS n2, sum(ends) AS e2 FROM seen GROUP BY ALL),
     twos AS (SELECT * FROM pairs WHERE e2 > 0),
     ones AS (SELECT code, c, sum(n2) AS n1, sum(e2) AS e1 FROM pairs GROUP BY code, c HAVING sum(e2) > 0),
     begun AS (
@@ -74,9 +77,11 @@ def truncated(rows: DataFrame, least: int = 40, share: float = 0.004, sure: floa
     it once. Texts are read whole; what is judged is the end alone, so a long text isn't flagged for its length.
     """
     spark = rows.sparkSession
-    tokens = spark.sql(TOKENS.replace("{markers}", MARKERS).replace("{keywords}", KEYWORDS), rows=rows.select("tbl", "id", "text"))
-    ends = spark.sql(ENDS, tokens=tokens)
-    seen = materialize(spark.sql(SEEN, tokens=tokens), "trigrams", compression="zstd")
+    markers = "|".join("".join(f"[{c}]" if c not in "[]" else "\\\\" + c for c in reversed(m)) for m in MARKERS)
+    parts = spark.sql(PARTS.replace("{markers}", markers).replace("{keywords}", KEYWORDS), rows=rows.select("tbl", "id", "text"))
+    token = TOKEN.replace("{L}", "{{L}}")
+    ends = materialize(spark.sql(ENDS.replace("{token}", token), parts=parts), "ends", compression="zstd")
+    seen = materialize(spark.sql(SEEN.replace("{token}", token), parts=parts), "trigrams", compression="zstd")
     flagged = FLAGGED.replace("{L}", "{{L}}")
     for name, value in (("least", int(least)), ("share", float(share)), ("sure", float(sure))):
         flagged = flagged.replace("{" + name + "}", str(value))
