@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 
 def repaired(df: DataFrame, start: str, end: str) -> DataFrame:
@@ -30,8 +31,8 @@ def lanes(df: DataFrame, group: str, start: str, end: str, key: str) -> DataFram
 
     The rows of a group stream through one task in order; what is kept is one end for each lane, not the rows.
     """
-    out = df.schema.add("lane", "long")
     names = df.columns
+    out = StructType([*df.schema.fields, StructField("lane", LongType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, busy, free, n = None, [], [], 0
