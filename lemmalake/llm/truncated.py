@@ -25,14 +25,17 @@ KEYWORDS = "theorem|lemma|example|def|instance|have"
 #: Words with digits as 0, line ends, and other characters.
 TOKEN = r"[\\p{L}_0₀-₉]+(?:\\.[\\p{L}_0]+)*|\\n|[^\\s]"
 
+#: The text in lower case, digits as 0; what was put after a cut is taken off before.
+PLAIN = "regexp_replace(translate(lower({x}), '123456789', '000000000'), '0+', '0')"
+CUT = "reverse(regexp_replace(reverse(text), '(?i)^(\\\\s|{markers})+', ''))"
+#: Where a part lies: 0 in prose, 1 in a fence, 2 and 3 in bare code.
+BARE = "fence = 0 AND part RLIKE '(?i)^\\\\s*({keywords})\\\\b' AND NOT contains(part, ':=')"
+
 PARTS = """
-    WITH lines AS (
-        SELECT tbl, id, split(regexp_replace(translate(reverse(regexp_replace(reverse(lower(text)), '^(\\\\s|{markers})+', '')),
-            '123456789', '000000000'), '0+', '0'), '```') AS parts
-        FROM {rows} WHERE id IS NOT NULL AND text RLIKE '[\\\\p{{L}}\\\\p{{N}}]'),
-    fenced AS (SELECT tbl, id, k % 2 AS fence, k = size(parts) - 1 AS final, part FROM lines LATERAL VIEW posexplode(parts) AS k, part)
-    SELECT tbl, id, code, p AS part, final AND (code < 3 OR NOT contains(part, ':=')) AS last FROM fenced LATERAL VIEW inline(
-        if(fence = 0 AND part RLIKE '^\\\\s*({keywords})\\\\b' AND NOT contains(part, ':='), array(named_struct('code', 3, 'p', part)),
+    WITH lines AS (SELECT split({plain}, '```') AS parts FROM {rows} WHERE id IS NOT NULL AND text RLIKE '[\\\\p{{L}}\\\\p{{N}}]'),
+    fenced AS (SELECT k % 2 AS fence, k = size(parts) - 1 AS final, part FROM lines LATERAL VIEW posexplode(parts) AS k, part)
+    SELECT code, p AS part, final AND (code < 3 OR NOT contains(part, ':=')) AS last FROM fenced LATERAL VIEW inline(
+        if({bare}, array(named_struct('code', 3, 'p', part)),
         if(fence = 0 AND contains(part, ':='), array(named_struct('code', 3, 'p', substring_index(part, ':=', 1)), named_struct('code', 2, 'p', substr(part, instr(part, ':=')))),
            array(named_struct('code', fence, 'p', part))))) AS code, p"""
 
@@ -44,8 +47,12 @@ SEEN = """
 
 #: The last three tokens of each text. They are read from the last 300 characters, unless these have too few.
 ENDS = """
-    WITH near AS (SELECT tbl, id, code, part, regexp_extract_all(right(part, 300), '{token}', 0) AS w FROM {parts} WHERE last),
-    tokens AS (SELECT tbl, id, code, concat(array('^', '^', '^'), if(length(part) <= 300 OR size(w) > 3, w, regexp_extract_all(part, '{token}', 0))) AS t FROM near)
+    WITH lines AS (SELECT tbl, id, split({cut}, '```') AS parts FROM {rows} WHERE id IS NOT NULL AND text RLIKE '[\\\\p{{L}}\\\\p{{N}}]'),
+    fenced AS (SELECT tbl, id, (size(parts) - 1) % 2 AS fence, element_at(parts, -1) AS part FROM lines),
+    coded AS (SELECT tbl, id, CASE WHEN {bare} THEN 3 WHEN fence = 0 AND contains(part, ':=') THEN 2 ELSE fence END AS code,
+        if(fence = 0 AND contains(part, ':='), substr(part, instr(part, ':=')), part) AS part FROM fenced),
+    near AS (SELECT tbl, id, code, part, regexp_extract_all({near}, '{token}', 0) AS w FROM coded),
+    tokens AS (SELECT tbl, id, code, concat(array('^', '^', '^'), if(length(part) <= 300 OR size(w) > 3, w, regexp_extract_all({whole}, '{token}', 0))) AS t FROM near)
     SELECT tbl, id, code, xxhash64(t[size(t) - 3], t[size(t) - 2]) AS a, xxhash64(t[size(t) - 2]) AS b, t[size(t) - 1] AS c FROM tokens"""
 
 #: n and e count the other places where the tokens stand and those of them that end a text; longer, how often a word that begins
@@ -78,10 +85,17 @@ def truncated(rows: DataFrame, least: int = 40, share: float = 0.004, sure: floa
     """
     spark = rows.sparkSession
     markers = "|".join("".join(f"[{c}]" if c not in "[]" else "\\\\" + c for c in reversed(m)) for m in MARKERS)
-    parts = spark.sql(PARTS.replace("{markers}", markers).replace("{keywords}", KEYWORDS), rows=rows.select("tbl", "id", "text"))
-    token = TOKEN.replace("{L}", "{{L}}")
-    ends = materialize(spark.sql(ENDS.replace("{token}", token), parts=parts), "ends", compression="zstd")
-    seen = materialize(spark.sql(SEEN.replace("{token}", token), parts=parts), "trigrams", compression="zstd")
+    cut = CUT.replace("{markers}", markers)
+    holes = {"cut": cut, "plain": PLAIN.replace("{x}", cut), "near": PLAIN.replace("{x}", "right(part, 300)"), "whole": PLAIN.replace("{x}", "part"), "bare": BARE.replace("{keywords}", KEYWORDS), "token": TOKEN.replace("{L}", "{{L}}")}
+
+    def filled(sql: str) -> str:
+        for name, value in holes.items():
+            sql = sql.replace("{" + name + "}", value)
+        return sql
+
+    rows = rows.select("tbl", "id", "text")
+    ends = materialize(spark.sql(filled(ENDS), rows=rows), "ends", compression="zstd")
+    seen = materialize(spark.sql(filled(SEEN), parts=spark.sql(filled(PARTS), rows=rows)), "trigrams", compression="zstd")
     flagged = FLAGGED.replace("{L}", "{{L}}")
     for name, value in (("least", int(least)), ("share", float(share)), ("sure", float(sure))):
         flagged = flagged.replace("{" + name + "}", str(value))
