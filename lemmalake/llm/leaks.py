@@ -180,4 +180,11 @@ def p8_scores(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {"p8_found": p8_found, "p8_scores": p8_scores}
-SQL: dict[str, str] = {}
+SQL = {
+    "p8_found": """WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+        i AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM eval_items WHERE text IS NOT NULL),
+        dg AS (SELECT DISTINCT doc_id, array_to_string(w[k:k + 11], ' ') AS g FROM d, range(1, (SELECT max(len(w)) FROM d) + 1) AS r(k) WHERE k + 11 <= len(w)),
+        ig AS (SELECT DISTINCT item_id, array_to_string(w[k:k + 11], ' ') AS g FROM i, range(1, (SELECT max(len(w)) FROM i) + 1) AS r(k) WHERE k + 11 <= len(w))
+        SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)
+        UNION SELECT doc_id, item_id FROM d, i WHERE len(i.w) BETWEEN 1 AND 11 AND contains(' ' || array_to_string(d.w, ' ') || ' ', ' ' || array_to_string(i.w, ' ') || ' ')"""
+}

@@ -268,4 +268,11 @@ def p5_classes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {"p5_found": p5_found, "p5_classes": p5_classes}
-SQL: dict[str, str] = {}
+#: Words numbered by occurrence, compared with all others: for small tables.
+TRAINING = "SELECT rec_id, theorem AS x FROM statements WHERE lower(trim(split)) = 'train' UNION SELECT rec_id, conjecture FROM conjectures"
+ALIKE = """o AS (SELECT side, rec_id, word, row_number() OVER (PARTITION BY rec_id, word) AS k
+        FROM (SELECT side, rec_id, unnest(regexp_extract_all(lower(x), '[\\p{L}\\p{N}]+')) AS word FROM rec WHERE x IS NOT NULL)),
+    n AS (SELECT rec_id, count(*) AS n FROM o GROUP BY 1),
+    p AS (SELECT a.rec_id AS i, b.rec_id AS j, count(*) AS c FROM o AS a JOIN o AS b ON a.word = b.word AND a.k = b.k AND {which} GROUP BY ALL)
+    SELECT least(i, j) AS id_a, greatest(i, j) AS id_b FROM p JOIN n AS x ON x.rec_id = i JOIN n AS y ON y.rec_id = j WHERE 4 * c >= 3 * greatest(x.n, y.n)"""
+SQL = {"p5_found": f"WITH rec AS (SELECT 1 AS side, * FROM ({TRAINING})), " + ALIKE.replace("{which}", "a.rec_id < b.rec_id")}

@@ -324,9 +324,9 @@ def test_ciphers_round_trip(cipher):
 
 def test_sql(spark, folder):
     con = duckdb.connect()
+    for t in ("train_samples", "statements", "conjectures", "documents", "eval_items"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{folder}/{t}.parquet')")
     for name, sql in registry.oracle_sql().items():
-        for t in ("train_samples",):
-            con.execute(f"CREATE OR REPLACE VIEW {t} AS SELECT * FROM read_parquet('{folder}/{t}.parquet')")
         df = registry.queries()[name](spark, folder)
         cur = con.execute(sql)
         at = [[d[0] for d in cur.description].index(c) for c in df.columns]
