@@ -181,7 +181,9 @@ def test_full_text_index():
     row = cross_split.FullTextIndex.build(pd.Series(lines), np.arange(3))
     index = cross_split.FullTextIndex(pd.Series(row))
     hashes, _ = similar.word_hashes(pd.Series(["a b a", "z"]))
-    at, size, place = index.hits(index.numbers(hashes[:3]), np.ones(3), np.zeros(3, dtype=int), 2.0)
+    number = index.numbers(hashes)
+    (at, size, place), *rest = index.hits(number[:3], np.ones(3), np.zeros(3, dtype=int), 2.0)
+    assert not rest and len(list(index.hits(number[[0, 1, 0, 1]], np.ones(4), np.array([0, 0, 1, 1]), 2.0, most=1))) == 2
     text = " ".join(x + " |" for x in lines).split()
     want = {(e - 1, p) for e in (1, 2) for p in range(len(text)) if text[p : p + 2] == ["a", "b", "a"][e - 1 : e + 1]}
     assert set(zip(at.tolist(), place.tolist(), strict=True)) == want
