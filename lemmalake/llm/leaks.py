@@ -4,7 +4,11 @@ The word n-grams of the items go into a bitmap of fixed size, which is broadcast
 n-grams that hit it. These are counted over the whole corpus, and of each window of an item (as many words as a leak must have)
 the rarest n-gram is its seed: whoever holds the window holds the seed. The seeds are joined to the corpus hits; each hit says where
 in the document the item would lie, and that passage is aligned with the item by Smith and Waterman's algorithm, many passages
-at once, which gives the score of edited copies and the longest run of equal words.
+at once, which gives the longest run of equal words.
+
+Copies that are edited everywhere need not share an n-gram. They are found by words alone: an alignment with half of an item's best
+score has at least half of the item's words, within twice as many words of the document. Documents that pass both counts are
+aligned whole.
 """
 
 from __future__ import annotations
@@ -21,6 +25,8 @@ from lemmalake.sources.tables import table
 from lemmalake.storage import materialize
 
 GRAM, BITMAP_BITS = 4, 1 << 22
+#: Words of items that one scan of the corpus for edited copies looks for, about.
+BLOCK_WORDS = 1_000_000
 #: Scores of a pair of equal words, of unequal ones, and of a word left out.
 EQUAL, UNEQUAL, GAP = 2, -1, -1
 #: Words around the place of an item in a document that are aligned with it too, and the places that make one passage.
@@ -128,17 +134,107 @@ def aligned(passages: DataFrame) -> DataFrame:
     return passages.select("doc", "item", "passage", "line").mapInPandas(run, "doc long, item long, score int, longest int, item_words int")
 
 
+def lines(rows: DataFrame) -> DataFrame:
+    """(id, line): the words of texts, set apart by blanks, of rows (id, text) that have any."""
+    rows = rows.where(F.col("id").isNotNull()).select("id", F.array_join(words(F.col("text")), " ").alias("line"))
+    return rows.where("line <> ''")
+
+
+class Items:
+    """The words of a block of items, and which items have each word how often."""
+
+    def __init__(self, items: pd.DataFrame) -> None:
+        hashes, self.sizes = word_hashes(items.line)
+        self.ids, self.lines = items.id.to_numpy(), np.split(hashes, np.cumsum(self.sizes)[:-1])
+        item = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        self.vocabulary, number = np.unique(hashes, return_inverse=True)
+        both, self.times = np.unique(number * len(self.sizes) + item, return_counts=True)
+        self.item = both % len(self.sizes)
+        self.start = np.searchsorted(both // len(self.sizes), np.arange(len(self.vocabulary) + 1))
+        self.need = -(-self.sizes // 2)
+
+    def candidates(self, doc: np.ndarray) -> np.ndarray:
+        """The items of which at least half of the words may stand in a window of twice their size in the document."""
+        at = np.minimum(np.searchsorted(self.vocabulary, doc), len(self.vocabulary) - 1)
+        known = np.unique(at[self.vocabulary[at] == doc])
+        n = self.start[known + 1] - self.start[known]
+        entry = np.repeat(self.start[known], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        found = np.nonzero(np.bincount(self.item[entry], weights=self.times[entry], minlength=len(self.sizes)) >= self.need)[0]
+
+        def dense(k: int) -> bool:
+            count = np.append(0, np.cumsum(np.isin(doc, self.lines[k])))
+            size = min(2 * int(self.sizes[k]), len(doc))
+            return bool((count[size:] - count[: len(count) - size] >= self.need[k]).any())
+
+        return np.array([k for k in found if dense(k)], dtype=np.int64)
+
+
+def windows(doc: np.ndarray, size: int) -> list[np.ndarray]:
+    """A document cut so that all of its runs of 2 * size words lie whole in a window."""
+    return [doc[k : k + 4 * size] for k in range(0, max(1, len(doc) - 2 * size), 2 * size)]
+
+
+def edited(docs: DataFrame, items: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """(doc, item, score, longest, item_words): every document and item whose best alignment has at least half of the item's best score,
+    EQUAL * item_words; score is that alignment's, longest the longest run of equal words anywhere in the document.
+
+    docs and items are as in leaks(). The corpus is scanned once for each block of about `block_words` words of items; words are
+    compared by 64-bit hashes.
+    """
+    spark = docs.sparkSession
+    docs, items = lines(docs), materialize(lines(items), "items")
+    size = F.size(F.split("line", " "))
+    blocks = -(-(items.agg(F.sum(size).alias("n")).head().n or 0) // block_words)
+    out = spark.createDataFrame([], "doc long, item long, score int, longest int, item_words int")
+    for block in range(blocks):
+        own = items.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block).toPandas()  # about block_words words
+        if len(own):
+            out = out.unionByName(edited_block(docs, spark.sparkContext.broadcast(own)))
+    return out.groupBy("doc", "item").agg(F.max("score").alias("score"), F.max("longest").alias("longest"), F.max("item_words").alias("item_words"))
+
+
+def edited_block(docs: DataFrame, sent) -> DataFrame:  # noqa: ANN001
+    """edited() for the items (id, line) of one block."""
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        items = Items(sent.value)
+
+        def scored(part: list[tuple[int, int, np.ndarray]]) -> pd.DataFrame:
+            sides = [w for _, _, w in part], [items.lines[k] for _, k, _ in part]
+            number = pd.factorize(np.concatenate([w for side in sides for w in side]))[0]
+            padded, at = [], 0
+            for side, pad in zip(sides, (-1, -2), strict=True):
+                out = np.full((len(part), max(map(len, side))), pad, dtype=np.int32)
+                for r, w in enumerate(side):
+                    out[r, : len(w)] = number[at : at + len(w)]
+                    at += len(w)
+                padded.append(out)
+            score, longest = align(padded[1], padded[0])  # a step a word of the item
+            return pd.DataFrame({"doc": [d for d, _, _ in part], "k": [k for _, k, _ in part], "score": score, "longest": longest})
+
+        for b in (s for batch in batches for s in slices(batch, "line", 1_000_000)):
+            hashes, sizes = word_hashes(b.line)
+            todo = []
+            for doc, w in zip(b.id, np.split(hashes, np.cumsum(sizes)[:-1]), strict=True):
+                todo += [(doc, k, piece) for k in items.candidates(w) for piece in windows(w, int(items.sizes[k]))]
+            todo.sort(key=lambda x: (len(x[2]), items.sizes[x[1]]))  # little padding
+            parts = [scored(todo[at : at + 128]) for at in range(0, len(todo), 128)]
+            if parts:
+                best = pd.concat(parts).groupby(["doc", "k"], as_index=False).max()
+                best = best[best.score >= items.sizes[best.k]]
+                yield pd.DataFrame({"doc": best.doc, "item": items.ids[best.k], "score": best.score, "longest": best.longest, "item_words": items.sizes[best.k]})
+
+    return docs.mapInPandas(scan, "doc long, item long, score int, longest int, item_words int")
+
+
 def leaks(docs: DataFrame, items: DataFrame, run: int = 12) -> DataFrame:
     """(doc, item, score, longest, item_words): of each document and item that share a seed, the best alignment score and the longest
-    run of equal words. Every pair that shares `run` words in a row (all words, for an item with fewer) is among them.
+    run of equal words. Every pair that shares `run` words in a row (all words, for an item with fewer) is among them; edited copies
+    are only if they share a seed, so see edited() for these.
 
     docs and items are rows (id, text) with unique ids. Null ids, null texts and texts without words have no pairs; either side may be empty.
     """
 
-    def lines(rows: DataFrame) -> DataFrame:
-        rows = rows.where(F.col("id").isNotNull()).select("id", F.array_join(words(F.col("text")), " ").alias("line"))
-        return rows.where("line <> ''")
-
     docs, items = lines(docs), lines(items)
     seeds = materialize(item_seeds(items, run), "item-grams")
     hits = materialize(corpus_hits(docs, bitmap(seeds)), "corpus-grams")
@@ -161,20 +257,20 @@ def leaks(docs: DataFrame, items: DataFrame, run: int = 12) -> DataFrame:
 RUN = 12
 
 
-def corpus_leaks(spark: SparkSession, folder: str) -> DataFrame:
+def corpus(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     docs = table(spark, folder, "documents").select(F.col("doc_id").alias("id"), "text")
     items = table(spark, folder, "eval_items").select(F.col("item_id").alias("id"), "text")
-    return leaks(docs, items, RUN)
+    return docs, items
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     whole = F.col("longest") >= F.least(F.lit(RUN), F.col("item_words"))
-    return corpus_leaks(spark, folder).where(whole).select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"))
+    return leaks(*corpus(spark, folder), RUN).where(whole).select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"))
 
 
 def p8_scores(spark: SparkSession, folder: str) -> DataFrame:
     """Documents with copies of items, edited ones too: those whose alignment has at least half of the item's best score."""
-    out = corpus_leaks(spark, folder).where(F.col("score") >= F.col("item_words"))
+    out = edited(*corpus(spark, folder))
     share = F.round(F.col("score") / (EQUAL * F.col("item_words")), 4)
     return out.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), "score", "longest", share.alias("share"))
 

@@ -267,6 +267,32 @@ def test_leaks(make):
     assert leaks.leaks(d.where("false"), i).count() == leaks.leaks(d, i.where("false")).count() == 0
 
 
+def best_score(a, b):
+    h = collections.defaultdict(int)
+    for x in range(1, len(a) + 1):
+        for y in range(1, len(b) + 1):
+            h[x, y] = max(0, h[x - 1, y - 1] + (leaks.EQUAL if a[x - 1] == b[y - 1] else leaks.UNEQUAL), h[x - 1, y] + leaks.GAP, h[x, y - 1] + leaks.GAP)
+    return max(h.values(), default=0)
+
+
+@pytest.mark.parametrize("block_words", [100_000, 60])
+def test_edited_copies(make, block_words):
+    rng = random.Random(12)
+    text = lambda n: [f"w{rng.randint(0, 200)}" for _ in range(n)]
+    items = [[f"v{k}" for k in range(30)], *(text(n) for n in (1, 2, 3, 7, 15, 24, 40))]
+    docs = [[f"unseen{k}" if k in (10, 20) else w for k, w in enumerate(items[0])]]  # an edit in each 12 words
+    docs.append([f"other{k}" if k % 4 == 3 else w for k, w in enumerate(items[0])])  # no 4 words in a row
+    docs.append([x for k, w in enumerate(items[0]) for x in (w, f"between{k}")])  # no 2 words in a row
+    for _ in range(60):
+        copy = [rng.choice([w, w, w, w, f"e{rng.randint(0, 9)}"]) for w in rng.choice(items) if rng.random() < 0.85]
+        docs.append(text(rng.randint(0, 200)) + copy + text(rng.randint(0, 20)))
+    d, i = make([(k, " ".join(x)) for k, x in enumerate(docs)] + [(900, None), (None, "w1")], "id long, text string"), make([(k, " ".join(x)) for k, x in enumerate(items)] + [(901, "")], "id long, text string")
+    got = {(r.doc, r.item): r.score for r in leaks.edited(d, i, block_words).collect()}
+    want = {(a, b): n for a, x in enumerate(docs) for b, y in enumerate(items) if (n := best_score(x, y)) >= len(y)}
+    assert got == want and {(0, 0), (1, 0), (2, 0)} <= set(want)
+    assert leaks.edited(d.where("false"), i).count() == leaks.edited(d, i.where("false")).count() == 0
+
+
 def test_alignment():
     rng = random.Random(3)
     for _ in range(20):
