@@ -10,6 +10,9 @@ side are merged into maximal spans and counted; pairs with spans are checked exa
 With more than one shard a text goes to the shards of the words of its prefix, in the fixed order by frequency (see `similar`): two alike texts
 share a word of their prefixes, so they meet in a shard, and the work doesn't grow with the product of the two sides. A shard
 that many texts share is split into blocks, and the training texts of it go to each.
+
+Alike texts need not share a run that carries the bits: they may be short, reordered or edited evenly. The signatures of problem 5, across
+the sides, give the pairs that are left, so that no pair is lost.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lemmalake.llm.similar import ALIKE, BUCKETS, TRAINING, Prefixes, alike, classes, histogram, occurrences, parity, slices, training_records, word_hashes
+from lemmalake.llm.similar import ALIKE, BUCKETS, TRAINING, Prefixes, alike, allocate, classes, histogram, meeting, occurrences, parity, signatures, slices, training_records, word_hashes
 from lemmalake.sources.tables import split_name, table
 from lemmalake.storage import new_table
 
@@ -169,8 +172,8 @@ def overlaps(held_out: DataFrame, training: DataFrame, bits: float = BITS, shard
     """(x, y, matched, spans, longest): training class x and evaluation class y with matches; words in spans, spans, longest span.
     Pairs whose parity bits show that they can't be alike are left out.
 
-    held_out and training are classes (rep, size, bag, seq). A pair of which no run of shared words carries `bits` isn't found. Either
-    side may be empty, which gives no rows.
+    held_out and training are classes (rep, size, bag, seq). A pair of which no run of shared words carries `bits` isn't found here,
+    see signed() for these. Either side may be empty, which gives no rows.
     """
     spark = held_out.sparkSession
     counts = histogram(held_out)
@@ -232,6 +235,13 @@ def overlaps(held_out: DataFrame, training: DataFrame, bits: float = BITS, shard
     return found if shards == 1 else found.dropDuplicates(["x", "y"])
 
 
+def signed(held_out: DataFrame, training: DataFrame) -> DataFrame:
+    """(x, y): training class x and evaluation class y with a common signature (see `similar`); all alike pairs are among them."""
+    counts = histogram(held_out)
+    chosen = allocate(held_out, counts)
+    return meeting(signatures(training, counts, chosen, counted=True), signatures(held_out, counts, chosen))
+
+
 def evaluation_records(spark: SparkSession, folder: str) -> DataFrame:
     s = table(spark, folder, "statements").where(split_name(F.col("split")).isin("valid", "test"))
     return s.select(F.col("rec_id").alias("id"), F.col("theorem").alias("text"))
@@ -244,7 +254,8 @@ def cross_split_pairs(held_out: DataFrame, training: DataFrame, **options: float
     without words have no pairs; a record delivered twice counts once.
     """
     (e, of_e), (t, of_t) = classes(held_out, True), classes(training, True)
-    pairs = alike(overlaps(e, t, **options).select("x", "y"), t, e).select("x", "y")
+    candidates = overlaps(e, t, **options).select("x", "y").unionByName(signed(e, t)).distinct()
+    pairs = alike(candidates, t, e).select("x", "y")
     x, y = of_t.select(F.col("id").alias("id_x"), F.col("rep").alias("x")), of_e.select(F.col("id").alias("id_y"), F.col("rep").alias("y"))
     return pairs.join(x, "x").join(y, "y").select("id_x", "id_y")
 

@@ -162,13 +162,15 @@ def allocate(heads: DataFrame, counts: np.ndarray) -> list[tuple[int, int]]:
     return [min(enumerate(c), key=lambda kc, b=b: costs.get((b, kc[0]), 0.0))[1] for b, c in enumerate(CHOICES)]
 
 
-def signatures(heads: DataFrame, counts: np.ndarray, chosen: list[tuple[int, int]]) -> DataFrame:
+def signatures(heads: DataFrame, counts: np.ndarray, chosen: list[tuple[int, int]], counted: bool = False) -> DataFrame:
     """(sig, rep, size, one, two): the t-subsets of the segments of each text's prefix, for each band that it belongs to, with the
-    text's size and parity bits."""
+    text's size and parity bits. counted: only tokens of words that are in the counts, where these hold all words of the other side."""
     sent = heads.sparkSession.sparkContext.broadcast(counts)  # BUCKETS entries
 
     def of_band(p: Prefixes, band: int, low: int, high: int, g: int, t: int) -> tuple[np.ndarray, np.ndarray]:
         inside = p.prefix(g * (t - 1) + 1) & ((p.sizes >= low) & (p.sizes <= high))[p.row]
+        if counted:
+            inside &= p.often > 0
         row, token = p.row[inside], p.token[inside]
         segment = (token >> np.uint64(40)) % np.uint64(g)
         order = np.lexsort((token, segment, row))
@@ -225,16 +227,21 @@ def alike(candidates: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame
     return joined.mapInPandas(keep, "x long, y long, common long, longer long")
 
 
+def meeting(left: DataFrame, right: DataFrame, which: Column | None = None) -> DataFrame:
+    """Distinct pairs (x, y) of texts with a common signature that can be alike by their parity bits."""
+    x, y = (sig.select("sig", *[F.col(c).alias(f"{c}_{r}") for c in ("rep", "size", "one", "two")]) for r, sig in (("x", left), ("y", right)))
+    differ = F.bit_count(F.col("one_x").bitwiseXOR(F.col("one_y"))) + F.bit_count(F.col("two_x").bitwiseXOR(F.col("two_y")))
+    # texts of sizes a and b that share 3/4 of the longer differ in at most a + b - 3/2 max(a, b) tokens
+    near = 2 * differ <= 2 * (F.col("size_x") + F.col("size_y")) - 3 * F.greatest("size_x", "size_y")
+    both = x.join(y, "sig").where(near if which is None else which & near)
+    return both.select(F.col("rep_x").alias("x"), F.col("rep_y").alias("y")).distinct()
+
+
 def similar(heads: DataFrame) -> DataFrame:
     """(x, y, common, longer), x < y: all pairs of different classes that are alike."""
     counts = histogram(heads)
     sig = signatures(heads, counts, allocate(heads, counts))
-    x, y = (sig.select("sig", *[F.col(c).alias(f"{c}_{r}") for c in ("rep", "size", "one", "two")]) for r in "xy")
-    differ = F.bit_count(F.col("one_x").bitwiseXOR(F.col("one_y"))) + F.bit_count(F.col("two_x").bitwiseXOR(F.col("two_y")))
-    # texts of sizes a and b that share 3/4 of the longer differ in at most a + b - 3/2 max(a, b) tokens
-    near = (F.col("rep_x") < F.col("rep_y")) & (2 * differ <= 2 * (F.col("size_x") + F.col("size_y")) - 3 * F.greatest("size_x", "size_y"))
-    pairs = x.join(y, "sig").where(near).select(F.col("rep_x").alias("x"), F.col("rep_y").alias("y")).distinct()
-    return alike(pairs, heads, heads)
+    return alike(meeting(sig, sig, F.col("rep_x") < F.col("rep_y")), heads, heads)
 
 
 def training_records(spark: SparkSession, folder: str) -> DataFrame:

@@ -174,6 +174,16 @@ def test_cross_split(make, shard_words):
     assert cross_split.cross_split_pairs(held.where("false"), train).count() == cross_split.cross_split_pairs(held, train.where("false")).count() == 0
 
 
+def test_cross_split_without_long_runs(make):
+    rng = random.Random(4)
+    base = [f"n{k}" for k in range(40)]
+    held = ["one two three four five six seven eight nine ten", " ".join(base), "a b c d", "one"]
+    train = [held[0], " ".join(rng.sample(base, 40)), " ".join(f"m{k}" if k % 4 == 3 else w for k, w in enumerate(base)), "d c b x", "a b c d e f", "One!", "two"]
+    got = {(r.id_x, r.id_y) for r in cross_split.cross_split_pairs(make(list(enumerate(held)), "id long, text string"), make(list(enumerate(train)), "id long, text string")).collect()}
+    assert got == {(k, j) for k, t in enumerate(train) for j, u in enumerate(held) if alike(t, u)}
+    assert {(0, 0), (1, 1), (2, 1), (3, 2), (5, 3)} == got
+
+
 def test_full_text_index():
     import pandas as pd
 
