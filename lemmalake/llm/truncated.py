@@ -6,6 +6,7 @@ or in bare code (a part outside of fences that has an assignment, or begins with
 Trigrams are counted where they stand inside texts and where they end one. The trigram that ends a text flags it if, of all the
 other places where it stands, almost none is an end. Trigrams seen too seldom to tell fall back on the last two tokens, then on
 the last one. A last word that hardly follows its predecessor anywhere else, while words that begin like it often do, was cut in two.
+All counts are over distinct texts: copies of a truncated text don't prove its end.
 """
 
 from __future__ import annotations
@@ -80,8 +81,8 @@ def truncated(rows: DataFrame, least: int = 40, share: float = 0.004, sure: floa
     """(tbl, id) of the rows (tbl, id, text) whose end was lost.
 
     least: how many other places a trigram (or pair, or token) must stand at to be judged; share: the share of these that are
-    ends below which it flags, after `sure` standard errors are taken off the number of ends. Null ids, null texts and texts without a letter or digit are never flagged; rows that repeat an id count for
-    it once. Texts are read whole; what is judged is the end alone, so a long text isn't flagged for its length.
+    ends below which it flags, after `sure` standard errors are taken off the number of ends. Null ids, null texts and texts without a letter or digit are never flagged; equal texts (but for
+    what was put after a cut) count once, and all their rows are flagged. Texts are read whole; what is judged is the end alone, so a long text isn't flagged for its length.
     """
     spark = rows.sparkSession
     markers = "|".join("".join(f"[{c}]" if c not in "[]" else "\\\\" + c for c in reversed(m)) for m in MARKERS)
@@ -93,13 +94,18 @@ def truncated(rows: DataFrame, least: int = 40, share: float = 0.004, sure: floa
             sql = sql.replace("{" + name + "}", value)
         return sql
 
-    rows = rows.select("tbl", "id", "text")
-    ends = materialize(spark.sql(filled(ENDS), rows=rows), "ends", compression="zstd")
-    seen = materialize(spark.sql(filled(SEEN), parts=spark.sql(filled(PARTS), rows=rows)), "trigrams", compression="zstd")
+    rows = rows.where("id IS NOT NULL AND text IS NOT NULL").select("tbl", "id", F.expr(cut).alias("text"))
+    rows = materialize(rows.withColumns({"one": F.xxhash64("text"), "two": F.xxhash64(F.lit(17), "text")}), "cut-texts", compression="zstd")
+    # the statements name a text by (tbl, id); a distinct one has two hashes
+    distinct = rows.groupBy("one", "two").agg(F.first("text").alias("text")).select(F.col("one").alias("tbl"), F.col("two").alias("id"), "text")
+    distinct = materialize(distinct, "distinct-texts", compression="zstd")
+    ends = materialize(spark.sql(filled(ENDS), rows=distinct), "ends", compression="zstd")
+    seen = materialize(spark.sql(filled(SEEN), parts=spark.sql(filled(PARTS), rows=distinct)), "trigrams", compression="zstd")
     flagged = FLAGGED.replace("{L}", "{{L}}")
     for name, value in (("least", int(least)), ("share", float(share)), ("sure", float(sure))):
         flagged = flagged.replace("{" + name + "}", str(value))
-    return spark.sql(flagged, seen=seen, ends=ends)
+    found = spark.sql(flagged, seen=seen, ends=ends).select(F.col("tbl").alias("one"), F.col("id").alias("two"))
+    return rows.select("tbl", "id", "one", "two").join(found, ["one", "two"]).select("tbl", "id").distinct()
 
 
 def texts(spark: SparkSession, folder: str, *columns: str) -> DataFrame:

@@ -125,6 +125,15 @@ def test_truncated(make):
     assert truncated.truncated(make([], "tbl string, id long, text string")).count() == 0
 
 
+def test_truncated_copies(make):
+    rng = random.Random(6)
+    names = [f"bound{a}{b}" for a in "abcdefgh" for b in "abcdefgh"]
+    data = [("t", k, " ".join(f"We use {rng.choice(names)} to see the rest of {rng.choice(names)} and conclude." for _ in range(4))) for k in range(600)]
+    data += [("t", 1000 + k, f"We use {names[0]} to see the rest of" + "..." * (k % 2)) for k in range(50)]
+    got = {r.id for r in truncated.truncated(make(data, "tbl string, id long, text string")).collect()}
+    assert got == set(range(1000, 1050))
+
+
 # problems 4 and 5
 
 
