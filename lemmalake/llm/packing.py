@@ -2,9 +2,9 @@
 
 The configuration linear program (least number of rows over all patterns of lengths that fit) depends on the histogram of
 lengths alone, which has at most `capacity` entries however many items there are. It is solved on the driver by
-multiplicative weights: each length has a weight that falls as it is covered, and the best pattern under the weights is priced by
-an unbounded-knapsack dynamic program. The fractional solution is rounded down; what remains is filled by the fullest
-patterns of what is left. The result is a plan of bounded size. The items are ranked within their length by Spark (salted, so
+multiplicative weights: each length has a weight that falls as it is covered, and the best patterns under the weights are priced by
+an unbounded-knapsack dynamic program, until every length is covered. The fractional solution is rounded; the few items that
+remain are laid by the fullest patterns of what is left. The result is a plan of bounded size. The items are ranked within their length by Spark (salted, so
 that no length is ranked in one task), and each finds its row and place in the plan by its rank.
 """
 
@@ -21,20 +21,28 @@ from lemmalake.sources.tables import table
 from lemmalake.storage import materialize
 
 
-def best_pattern(value: np.ndarray, capacity: int) -> np.ndarray:
-    """Counts by length of the pattern of greatest value that fits (unbounded knapsack). value[k] is of length k + 1."""
-    best, last = np.zeros(capacity + 1), np.zeros(capacity + 1, dtype=int)
+def best_patterns(value: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """The unbounded knapsack: of each room 0 to capacity the greatest value of lengths that fit, and the last length of one such
+    pattern (0: one place stays empty). sizes is sorted."""
+    best, last = np.zeros(capacity + 1), np.zeros(capacity + 1, dtype=np.int64)
+    fit = np.searchsorted(sizes, np.arange(capacity + 1), side="right")
     for c in range(1, capacity + 1):
-        with_k = value[:c] + best[c - 1 :: -1][:c]
-        k = int(np.argmax(with_k))
-        best[c], last[c] = (with_k[k], k + 1) if with_k[k] > best[c - 1] else (best[c - 1], 0)
-    counts, c = np.zeros(capacity, dtype=np.int64), capacity
-    while c > 0:
-        if last[c]:
-            counts[last[c] - 1] += 1
-            c -= last[c]
-        else:
-            c -= 1
+        best[c] = best[c - 1]
+        if fit[c]:
+            with_k = value[: fit[c]] + best[c - sizes[: fit[c]]]
+            k = with_k.argmax()
+            if with_k[k] > best[c]:
+                best[c], last[c] = with_k[k], sizes[k]
+    return best, last
+
+
+def pattern_of(last: np.ndarray, room: int, capacity: int) -> np.ndarray:
+    """Counts by length of the best pattern of a room."""
+    counts = np.zeros(capacity, dtype=np.int64)
+    while room > 0:
+        if last[room]:
+            counts[last[room] - 1] += 1
+        room -= max(1, last[room])
     return counts
 
 
@@ -63,47 +71,92 @@ def fullest_pattern(left: np.ndarray, capacity: int) -> np.ndarray:
     return counts
 
 
-def solve(histogram: np.ndarray, capacity: int, rounds: int = 400, eta: float = 0.08) -> list[tuple[np.ndarray, int]]:
-    """Patterns and how often each is used, so that every item of the histogram is in exactly one row.
+def fractional(histogram: np.ndarray, capacity: int, eta: float = 0.1, together: int = 16, slack: float = 0.97) -> tuple[list[np.ndarray], np.ndarray, float]:
+    """The covering linear program by multiplicative weights: patterns, how often each is used, and a lower bound on the rows.
 
-    histogram[k] is the number of items of length k + 1; rounds and eta are of the multiplicative weights.
+    Every length is covered when it ends. A length's price is its own number of tokens, which alone gives the bound by volume, times
+    a weight that falls by exp(-1) for each `eta` of its items that are covered. Of each knapsack the best pattern is taken and, for
+    the `together` lengths covered least, the best ones that have them, if they are worth `slack` of it. The bound is the best of the
+    dual solutions that the prices are.
     """
-    left = histogram.astype(np.int64).copy()
+    has = histogram > 0
+    sizes, need = np.nonzero(has)[0] + 1, np.where(has, histogram, 1).astype(float)
+    covered, found, bound = np.zeros(capacity), {}, 0.0
+    while (covered[has] < 1).any():
+        price = np.where(has, np.arange(1, capacity + 1) * np.exp((covered[has].min() - covered) / eta), 0.0)
+        best, last = best_patterns(price[sizes - 1], sizes, capacity)
+        bound = max(bound, float((price * histogram).sum() / best[-1]))
+        before = covered.copy()
+        for size in (0, *sizes[np.argsort(covered[sizes - 1], kind="stable")][:together]):
+            if size and (covered[size - 1] > before[size - 1] or price[size - 1] + best[capacity - size] < slack * best[-1]):
+                continue
+            pattern = pattern_of(last, capacity - size, capacity)
+            if size:
+                pattern[size - 1] += 1
+            pattern = np.minimum(pattern, histogram)
+            own = pattern > 0
+            if (covered - before)[own].max() > eta:  # these prices don't hold any more
+                continue
+            step = (eta * need[own] / pattern[own]).min()
+            found[pattern.tobytes()] = found.get(pattern.tobytes(), 0.0) + step
+            covered += step * pattern / need
+    times = np.array(list(found.values())) / (covered[has].min() if has.any() else 1.0)
+    return [np.frombuffer(k, dtype=np.int64) for k in found], times, bound
+
+
+def rounded(histogram: np.ndarray, patterns: list[np.ndarray], times: np.ndarray, carried: float) -> tuple[list[tuple[np.ndarray, int]], int]:
+    """A plan from patterns in their order and how often each should be used, and how many items these patterns lay.
+
+    The times are rounded by their running sum, which begins at `carried`, so that the number of rows stays: patterns used 0.3 times
+    give a row about every third time. A length that is covered more often than it has items ends the use of its patterns.
+    What remains is laid by the fullest patterns of what is left."""
+    left = histogram.copy()
     plan: list[tuple[np.ndarray, int]] = []
-    has = left > 0
-    if not has.any():
-        return plan
-    need = np.where(has, left, 1).astype(float)
-    covered, patterns, weights = np.zeros(capacity), [], []
-    while len(patterns) < rounds and (covered[has] < 1).any():
-        price = np.where(has, np.exp(-covered / eta) / need, 0.0)
-        pattern = np.minimum(best_pattern(price / price.max(), capacity), left)
-        step = (eta * need[pattern > 0] / pattern[pattern > 0]).min()
-        patterns.append(pattern)
-        weights.append(step)
-        covered += step * pattern / need
-    cover = max(1.0, covered[has].min()) if patterns else 1.0
-    for pattern, x in sorted(zip(patterns, weights, strict=True), key=lambda p: -(p[0] * np.arange(1, capacity + 1)).sum()):
-        size = (pattern * np.arange(1, capacity + 1)).sum()
-        times = int(min(x / cover, (left[pattern > 0] // pattern[pattern > 0]).min()))
-        if times > 0 and size >= 0.99 * capacity:
-            plan.append((pattern, times))
-            left -= times * pattern
+    for pattern, x in zip(patterns, times, strict=True):
+        carried += x
+        n = int(min(int(carried), (left[pattern > 0] // pattern[pattern > 0]).min()))
+        carried -= int(carried)
+        if n:
+            plan.append((pattern, n))
+            left -= n * pattern
+    by_program = int(histogram.sum() - left.sum())
     while left.any():
-        pattern = fullest_pattern(left, capacity)
-        times = int((left[pattern > 0] // pattern[pattern > 0]).min())
-        plan.append((pattern, times))
-        left -= times * pattern
+        pattern = fullest_pattern(left, len(left))
+        n = int((left[pattern > 0] // pattern[pattern > 0]).min())
+        plan.append((pattern, n))
+        left -= n * pattern
+    return plan, by_program
+
+
+def solve(histogram: np.ndarray, capacity: int, told: dict | None = None) -> list[tuple[np.ndarray, int]]:
+    """Patterns and how often each is used, so that every item of the histogram is in exactly one row.
+
+    histogram[k] is the number of items of length k + 1, up to the capacity. Of several roundings of the fractional solution the one
+    with the fewest rows is taken. Patterns that leave a tenth more room than rows leave at the bound aren't used. told, if given,
+    gets the lower bound and the share of the items that the linear program laid.
+    """
+    histogram = histogram.astype(np.int64)
+    lengths = np.arange(1, capacity + 1)
+    patterns, times, bound = fractional(histogram, capacity)
+    room = 1.1 * (capacity - (histogram * lengths).sum() / max(bound, 1.0)) + 1e-6
+    used = [k for k, p in enumerate(patterns) if capacity - (p * lengths).sum() <= room]
+    tried = []
+    for order in (used, sorted(used, key=lambda k: -np.nonzero(patterns[k])[0][-1])):
+        for carried in (0.0, 0.25, 0.5, 0.75):
+            tried.append(rounded(histogram, [patterns[k] for k in order], times[order], carried))
+    plan, by_program = min(tried, key=lambda t: (sum(n for _, n in t[0]), -t[1]))
+    if told is not None:
+        told |= {"bound": bound, "lp_items": by_program / max(1, int(histogram.sum()))}
     return plan
 
 
-def pack(items: DataFrame, capacity: int, slice_rows: int = 200_000) -> DataFrame:
+def pack(items: DataFrame, capacity: int, slice_rows: int = 200_000, told: dict | None = None) -> DataFrame:
     """Lays items (id long, n int) into rows of the capacity: (id, piece, row_id, place, n_tokens).
 
     An item longer than the capacity is split into full rows (pieces 0, 1, ...) and a rest, which is laid like an item; others have
     piece 0 alone. place is the 0-based offset in the row. Items without tokens (null or 0) take no room and stand at place 0
     of row 0. Rows with a null id are left out. Ids must be unique. An empty table gives no rows.
-    slice_rows: about so many items of one length are ranked in one task.
+    slice_rows: about so many items of one length are ranked in one task; told: see solve().
     """
     spark = items.sparkSession
     items = items.where(F.col("id").isNotNull()).select("id", F.coalesce(F.col("n").cast("int"), F.lit(0)).alias("n"))
@@ -125,7 +178,7 @@ def pack(items: DataFrame, capacity: int, slice_rows: int = 200_000) -> DataFram
 
     starts: dict[int, list[tuple[int, int, int, int]]] = {}
     row, seen = 0, dict.fromkeys(range(1, capacity + 1), 0)
-    for pattern, times in solve(histogram, capacity):
+    for pattern, times in solve(histogram, capacity, told):
         offset = 0
         for k in np.nonzero(pattern)[0][::-1]:
             size, many = int(k) + 1, int(pattern[k])
@@ -154,19 +207,38 @@ def pack(items: DataFrame, capacity: int, slice_rows: int = 200_000) -> DataFram
 CAPACITY = 512
 
 
+def sample_sizes(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "train_samples").select(F.col("sample_id").alias("id"), F.size("gen_tokens").alias("n"))
+    return rows.groupBy("id").agg(F.greatest(F.max("n"), F.lit(0)).alias("n"))
+
+
 def p1_pack(spark: SparkSession, folder: str) -> DataFrame:
     """The training row and place of every sample, or piece of one, of train_samples."""
-    rows = table(spark, folder, "train_samples").select(F.col("sample_id").alias("id"), F.size("gen_tokens").alias("n"))
-    once = rows.groupBy("id").agg(F.greatest(F.max("n"), F.lit(0)).alias("n"))
-    return pack(once, CAPACITY).withColumnRenamed("id", "sample_id")
+    return pack(sample_sizes(spark, folder), CAPACITY).withColumnRenamed("id", "sample_id")
 
 
 def p1_room(spark: SparkSession, folder: str) -> DataFrame:
-    """One row for all training rows: how many there are, their tokens, and the share of their room that is used."""
-    rows = p1_pack(spark, folder).where("n_tokens > 0").groupBy("row_id").agg(F.sum("n_tokens").alias("t"))
+    """One row for all training rows: how many there are, their tokens, the share of their room that is used, the linear program's lower
+    bound on the rows (of pieces shorter than a row), and the share of these pieces that its patterns lay."""
+    told: dict = {}
+    rows = pack(sample_sizes(spark, folder), CAPACITY, told=told).where("n_tokens > 0").groupBy("row_id").agg(F.sum("n_tokens").alias("t"))
     used = F.round(F.sum("t") / (F.count("*") * CAPACITY), 6)
-    return rows.agg(F.count("*").alias("n_rows"), F.sum("t").alias("n_tokens"), F.max("t").alias("fullest"), used.alias("used_share"))
+    bound, share = F.lit(round(told["bound"], 3)), F.lit(round(told["lp_items"], 4))
+    return rows.agg(F.count("*").alias("n_rows"), F.sum("t").alias("n_tokens"), F.max("t").alias("fullest"), used.alias("used_share"), bound.alias("bound_rows"), share.alias("lp_share"))
+
+
+def p1_bounds(spark: SparkSession, folder: str) -> DataFrame:
+    """What any packing must give: the pieces, their tokens, and the least rows by volume; and whether this one has at most 1 % more (and one) rows
+    and no row is overfull."""
+    laid = pack(sample_sizes(spark, folder), CAPACITY)
+    rows = laid.groupBy("row_id").agg(F.count("*").alias("p"), F.sum("n_tokens").cast("long").alias("t"))
+    least = F.ceil(F.sum("t") / CAPACITY)
+    near = (F.count_if(F.col("t") > 0) <= 1.01 * least + 1) & (F.max("t") <= CAPACITY)
+    return rows.agg(F.sum("p").alias("n_pieces"), F.sum("t").alias("n_tokens"), least.alias("least_rows"), near.alias("near_least"))
 
 
-QUERIES = {"p1_pack": p1_pack, "p1_room": p1_room}
-SQL: dict[str, str] = {}
+QUERIES = {"p1_pack": p1_pack, "p1_room": p1_room, "p1_bounds": p1_bounds}
+SQL = {
+    "p1_bounds": f"""WITH s AS (SELECT sample_id, greatest(max(coalesce(len(gen_tokens), 0)), 0) AS n FROM train_samples GROUP BY 1)
+        SELECT sum(greatest(ceil(n / {CAPACITY}), 1))::BIGINT AS n_pieces, sum(n)::BIGINT AS n_tokens, ceil(sum(n) / {CAPACITY})::BIGINT AS least_rows, true AS near_least FROM s"""
+}

@@ -73,6 +73,27 @@ def test_packing_solution_is_whole():
     assert (used == h).all()
 
 
+@pytest.mark.parametrize("times", [1, 100])
+def test_packing_by_linear_program(times):
+    rng = np.random.default_rng(1)
+    h = np.bincount(np.minimum(511, rng.lognormal(3.6, 1.0, 20_000).astype(int)), minlength=512)[1:] * times
+    h = np.append(h, 0)
+    told = {}
+    plan = packing.solve(h, 512, told)
+    least = -(-int((h * np.arange(1, 513)).sum()) // 512)
+    assert (sum(p * n for p, n in plan) == h).all()
+    assert least - 1 <= told["bound"] <= least
+    assert told["lp_items"] > 0.8 and sum(n for _, n in plan) <= least + 2
+
+
+def test_packing_bound_above_volume():
+    h = np.zeros(512, dtype=np.int64)
+    h[[299, 250]] = [1000, 7]
+    told = {}
+    plan = packing.solve(h, 512, told)
+    assert sum(n for _, n in plan) == 1004 and 1000 < told["bound"] <= 1003.5 and told["lp_items"] > 0.9
+
+
 # problem 2
 
 
