@@ -131,23 +131,23 @@ def rounded(histogram: np.ndarray, patterns: list[np.ndarray], times: np.ndarray
 def solve(histogram: np.ndarray, capacity: int, told: dict | None = None) -> list[tuple[np.ndarray, int]]:
     """Patterns and how often each is used, so that every item of the histogram is in exactly one row.
 
-    histogram[k] is the number of items of length k + 1, up to the capacity. Of several roundings of the fractional solution the one
+    histogram[k] is the number of items of length k + 1, up to the capacity; those of the capacity have rows of their own. Of several roundings of the fractional solution the one
     with the fewest rows is taken. Patterns that leave a tenth more room than rows leave at the bound aren't used. told, if given,
-    gets the lower bound and the share of the items that the linear program laid.
+    gets the lower bound and the share of the shorter items that the linear program laid.
     """
-    histogram = histogram.astype(np.int64)
-    lengths = np.arange(1, capacity + 1)
+    full = int(histogram[-1])
+    histogram, lengths = np.append(histogram[:-1], 0).astype(np.int64), np.arange(1, capacity + 1)
     patterns, times, bound = fractional(histogram, capacity)
     room = 1.1 * (capacity - (histogram * lengths).sum() / max(bound, 1.0)) + 1e-6
     used = [k for k, p in enumerate(patterns) if capacity - (p * lengths).sum() <= room]
     tried = []
     for order in (used, sorted(used, key=lambda k: -np.nonzero(patterns[k])[0][-1])):
-        for carried in (0.0, 0.25, 0.5, 0.75):
-            tried.append(rounded(histogram, [patterns[k] for k in order], times[order], carried))
+        for carried, share in ((0.0, 1.0), (0.5, 1.0), (0.75, 1.0), (0.5, 0.95), (0.5, 0.8)):
+            tried.append(rounded(histogram, [patterns[k] for k in order], share * times[order], carried))
     plan, by_program = min(tried, key=lambda t: (sum(n for _, n in t[0]), -t[1]))
     if told is not None:
-        told |= {"bound": bound, "lp_items": by_program / max(1, int(histogram.sum()))}
-    return plan
+        told |= {"bound": bound + full, "lp_items": by_program / max(1, int(histogram.sum()))}
+    return plan + [((lengths == capacity).astype(np.int64), full)] * (full > 0)
 
 
 def pack(items: DataFrame, capacity: int, slice_rows: int = 200_000, told: dict | None = None) -> DataFrame:
