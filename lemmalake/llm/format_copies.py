@@ -1,6 +1,6 @@
 """Problem 6: records that are one and the same but for white space, letter case, punctuation or the order of their binders.
 
-The characters of a batch's texts stream through one lookup table, which gives 0 for a character to skip and else the folded
+The characters of a batch's texts, about two million at a time, stream through one lookup table, which gives 0 for a character to skip and else the folded
 character, into rolling polynomial hashes (modulo 2^64, two bases); canonical strings are never made. Rows of a batch with equal hashes
 are compared at once by two pointers that skip what the table skips, and only the one with the least id goes on to the shuffle:
 a text of which there are very many copies sends one row for each batch. After the shuffle by hash the rest are compared in the same
@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lemmalake.llm.similar import slices
 from lemmalake.sources.tables import table
 from lemmalake.storage import materialize
 
@@ -192,7 +193,7 @@ def classes(rows: DataFrame) -> DataFrame:
     fold = rows.sparkSession.sparkContext.broadcast(fold_table())  # LOW entries
 
     def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in (s for batch in batches for s in slices(batch, "text", 2_000_000)):
             b = b.sort_values(["tbl", "id"]).reset_index(drop=True)
             texts, kinds = b.text.tolist(), b.kind.tolist()
             one, two, size = hashes(texts, kinds, fold.value)
