@@ -24,7 +24,7 @@ MARKERS = ("...", "…", "[...]", "[…]", "[truncated]", "[cut]", "<truncated>"
 KEYWORDS = "theorem|lemma|example|def|instance|have"
 
 #: Words with digits as 0, line ends, and other characters.
-TOKEN = r"[\\p{L}_0₀-₉]+(?:\\.[\\p{L}_0]+)*|\\n|[^\\s]"
+TOKEN = r"[\\p{L}_0₀-₉]++(?:\\.[\\p{L}_0]++)*+|\\n|[^\\s]"
 
 #: The text in lower case, digits as 0; what was put after a cut is taken off before.
 PLAIN = "regexp_replace(translate(lower({x}), '123456789', '000000000'), '0+', '0')"
@@ -57,7 +57,8 @@ ENDS = """
     SELECT tbl, id, code, xxhash64(t[size(t) - 3], t[size(t) - 2]) AS a, xxhash64(t[size(t) - 2]) AS b, t[size(t) - 1] AS c FROM tokens"""
 
 #: n and e count the other places where the tokens stand and those of them that end a text; longer, how often a word that begins
-#: like the last one stands after the same token, inner, how often the last word itself does inside a text.
+#: like the last one stands after the same token, inner, how often the last word itself does inside a text. Beginnings are made only
+#: of the lengths that last words have after that token, and compared by hash, so that a word of any length stays one row for each.
 FLAGGED = """
     WITH last AS (SELECT code, a, b, c, count(*) AS ends FROM {ends} GROUP BY ALL),
     seen AS (SELECT code, a, b, c, n, coalesce(ends, 0) AS ends FROM {seen} LEFT JOIN last USING (code, a, b, c)),
@@ -65,14 +66,15 @@ FLAGGED = """
     pairs AS (SELECT code, b, c, sum(n) AS n2, sum(ends) AS e2 FROM seen GROUP BY ALL),
     twos AS (SELECT * FROM pairs WHERE e2 > 0),
     ones AS (SELECT code, c, sum(n2) AS n1, sum(e2) AS e1 FROM pairs GROUP BY code, c HAVING sum(e2) > 0),
+    cuts AS (SELECT code, b, collect_set(length(c)) AS sizes FROM last WHERE c RLIKE '^[\\\\p{L}_]' GROUP BY code, b),
     begun AS (
-        SELECT code, b, left(c, k) AS c, sum(n2 - e2) AS longer FROM pairs LATERAL VIEW explode(sequence(1, length(c) - 1)) AS k
-        WHERE length(c) > 1 AND c RLIKE '^[\\\\p{L}_]' GROUP BY code, b, left(c, k)),
+        SELECT code, b, xxhash64(left(c, k)) AS h, k, sum(n2 - e2) AS longer FROM pairs JOIN cuts USING (code, b) LATERAL VIEW explode(filter(sizes, k -> k < length(c))) AS k
+        WHERE length(c) > 1 AND c RLIKE '^[\\\\p{L}_]' GROUP BY code, b, xxhash64(left(c, k)), k),
     judged AS (
-        SELECT code, a, b, c, coalesce(longer, 0) AS longer, n2 - e2 AS inner,
+        SELECT ended.code, a, ended.b, c, coalesce(longer, 0) AS longer, n2 - e2 AS inner,
             CASE WHEN n3 > {least} THEN struct(n3 - 1 AS n, e3 - 1 AS e) WHEN n2 > {least} THEN struct(n2 - 1 AS n, e2 - 1 AS e)
                 WHEN n1 > {least} THEN struct(n1 - 1 AS n, e1 - 1 AS e) ELSE struct(1L AS n, 0L AS e) END AS s
-        FROM ended JOIN twos USING (code, b, c) JOIN ones USING (code, c) LEFT JOIN begun USING (code, b, c)),
+        FROM ended JOIN twos USING (code, b, c) JOIN ones USING (code, c) LEFT JOIN begun ON ended.code = begun.code AND ended.b = begun.b AND xxhash64(c) = h AND length(c) = k),
     flagged AS (SELECT code, a, b, c FROM judged WHERE (s.e - {sure} * sqrt(s.e)) / s.n < {share} OR longer > 10 * inner + 5)
     SELECT DISTINCT tbl, id FROM {ends} JOIN flagged USING (code, a, b, c)"""
 
