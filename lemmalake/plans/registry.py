@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("selection", "reshape", "extraction", "rewards", "verdicts", "tokens", "structures")
+MODULES = ("selection", "reshape", "extraction", "rewards", "verdicts", "tokens", "structures", "records")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
