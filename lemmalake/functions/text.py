@@ -64,14 +64,35 @@ def tagged_number(c: Column, name: str) -> Column:
     return F.when(inner.rlike(r"^[+-]?(\d+\.?\d*([eE][+-]?\d+)?|\.\d+([eE][+-]?\d+)?|inf|infinity|nan|Inf|NaN|Infinity)$"), inner.try_cast("double"))
 
 
-def header_lines(c: Column) -> Column:
-    """The header of a file: its leading import, option, open and blank lines, each once, one `import Mathlib` first."""
+def header_and_body(c: Column) -> tuple[Column, Column]:
+    """A file's header and the rest. The header is its leading import, set_option, open and blank lines, trimmed, each once and in order,
+    behind one `import Mathlib` for all lines that begin so; two line ends follow it."""
+    lines = F.split(c, r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]")
+    lines = F.when(F.element_at(lines, -1) == "", F.slice(lines, 1, F.size(lines) - 1)).otherwise(lines)
+    other = F.array_position(F.transform(lines, lambda x: strip(x).rlike("^((import|set_option|open) |$)")), False).cast("int")
+    n = F.when(other > 0, other - 1).otherwise(F.size(lines))
+    head = F.filter(F.transform(F.slice(lines, F.lit(1), n), strip), lambda x: x != "")
+    rest = F.array_distinct(F.filter(head, lambda x: ~x.startswith("import Mathlib")))
+    first = F.when(F.exists(head, lambda x: x.startswith("import Mathlib")), F.array(F.lit("import Mathlib"))).otherwise(F.array().cast("array<string>"))
+    return F.concat(F.array_join(F.concat(first, rest), "\n"), F.lit("\n\n")), F.array_join(F.slice(lines, n + 1, F.size(lines)), "\n")
+
+
+def before_fence(c: Column) -> Column:
+    """What stands before the first fence; all of a text without one."""
+    return F.substring_index(c, FENCE, 1)
+
+
+def at_line(c: Column, line: Column, column: Column) -> Column:
+    """The character, from 0, at a line and a column, both from 0; null beyond the last line."""
     lines = F.split(c, "\n")
-    flags = F.transform(lines, lambda x: x.rlike(r"^\s*((import|set_option|open)\b.*)?$"))
-    first_other = F.array_position(flags, False)
-    head = F.when(first_other > 0, F.slice(lines, 1, (first_other - 1).cast("int"))).otherwise(lines)
-    rest = F.filter(F.array_distinct(head), lambda x: (F.trim(x) != "") & (F.trim(x) != "import Mathlib"))
-    return F.array_join(F.when(F.array_contains(F.transform(head, F.trim), "import Mathlib"), F.concat(F.array(F.lit("import Mathlib")), rest)).otherwise(rest), "\n")
+    before = F.aggregate(F.slice(lines, F.lit(1), line), F.lit(0), lambda n, x: n + F.length(x) + 1)
+    return F.when(line < F.size(lines), before + column)
+
+
+def gigabytes(c: Column, shares: Column) -> Column:
+    """The whole gigabytes of a memory size such as 128G for each of `shares`, one at least; null for anything else."""
+    n = F.regexp_extract(c, r"^(\d+)G$", 1).try_cast("int")
+    return F.when(n.isNotNull(), F.greatest(F.floor(n / F.greatest(shares, F.lit(1))), F.lit(1)))
 
 
 def minutes(c: Column) -> Column:

@@ -21,7 +21,7 @@ def append_up_to(stored: DataFrame, fresh: DataFrame, entity: str, value: str, o
     """The fresh rows to be stored: of each entity the first (most - stored) ones, each value once and none that is stored already."""
     have = stored.groupBy(entity).agg(F.count("*").alias("_have"))
     fresh = fresh.join(have, entity, "left").withColumn("_k", F.row_number().over(Window.partitionBy(entity).orderBy(*order)))
-    fresh = fresh.where(F.col("_k") <= F.lit(most) - F.coalesce("_have", F.lit(0))).drop("_k", "_have")
+    fresh = fresh.where(F.col("_k") <= most).where(F.col("_k") <= F.lit(most) - F.coalesce("_have", F.lit(0))).drop("_k", "_have")
     return first_of(fresh, [entity, value], order).join(stored.select(entity, value), [entity, value], "left_anti")
 
 
@@ -32,8 +32,9 @@ def repeated(df: DataFrame, times: Column | int, name: str = "attempt_idx") -> D
 
 
 def cycled(items: DataFrame, group: str, order: list[Column], n: int) -> DataFrame:
-    """n rows of each group: its items in order, over and over. `turn` is 0 to n - 1."""
-    w = Window.partitionBy(group)
-    placed = items.withColumn("_i", F.row_number().over(w.orderBy(*order)) - 1).withColumn("_m", F.count("*").over(w))
-    turns = F.filter(F.sequence(F.lit(0), F.lit(n - 1)), lambda t: t % F.col("_m") == F.col("_i"))
-    return placed.where(F.col("_i") < n).withColumn("turn", F.explode(turns)).drop("_i", "_m")
+    """n rows of each group: its items in order, over and over. `turn` is 0 to n - 1. Spark limits the rows of a group before the shuffle."""
+    many = items.groupBy(F.col(group).alias("_group")).agg(F.count("*").alias("_m"))
+    placed = items.withColumn("_i", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("_i") <= n)
+    placed = placed.join(many, F.col(group).eqNullSafe(F.col("_group")))
+    turns = F.filter(F.sequence(F.lit(0), F.lit(n - 1)), lambda t: t % F.col("_m") == F.col("_i") - 1)
+    return placed.withColumn("turn", F.explode(turns)).drop("_i", "_m", "_group")

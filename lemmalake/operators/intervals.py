@@ -26,19 +26,27 @@ def peak(df: DataFrame, group: list[str], start: str, end: str) -> DataFrame:
     return steps.withColumn("n", open_now).groupBy(*group).agg(F.max("n").cast("long").alias("peak"))
 
 
-def lanes(df: DataFrame, group: str, start: str, end: str, key: str) -> DataFrame:
+def lanes(df: DataFrame, group: str, start: str, end: str, key: str, slot: int = 3_600_000_000) -> DataFrame:
     """Adds `lane`: in order of the start (then the key) each interval gets the lowest lane of its group that is free by then.
 
-    The rows of a group stream through one task in order; what is kept is one end for each lane, not the rows.
+    A group is cut where nothing is open at the beginning of a slot of time, after which its lanes begin anew; of the slots there are as
+    many as the time is long. The rows of a piece stream through one task in order; what is kept is one end for each lane, not the rows.
     """
     names = df.columns
-    out = StructType([*df.schema.fields, StructField("lane", LongType())])
+    df = df.withColumn("_slot", F.floor(F.col(start) / slot))
+    slots = df.groupBy(group, "_slot").agg(F.max(end).alias("_end"))
+    w = Window.partitionBy(group).orderBy("_slot")
+    reach = F.max("_end").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    slots = slots.withColumn("_new", F.coalesce(reach <= F.col("_slot") * slot, F.lit(True)).cast("int")).withColumn("_piece", F.sum("_new").over(w))
+    slots = slots.select(F.col(group).alias("_group"), F.col("_slot").alias("_s"), "_piece")
+    df = df.join(slots, F.col(group).eqNullSafe(F.col("_group")) & (F.col("_slot") == F.col("_s"))).drop("_group", "_s", "_slot")
+    out = StructType([*df.drop("_piece").schema.fields, StructField("lane", LongType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, busy, free, n = None, [], [], 0
         for b in batches:
             lane = []
-            for g, s, e in zip(b[group], b[start], b[end], strict=True):
+            for g, s, e in zip(zip(b[group], b["_piece"], strict=True), b[start], b[end], strict=True):
                 if g != now:
                     now, busy, free, n = g, [], [], 0
                 while busy and busy[0][0] <= s:
@@ -51,7 +59,7 @@ def lanes(df: DataFrame, group: str, start: str, end: str, key: str) -> DataFram
                 lane.append(k)
             yield b.assign(lane=lane)[[*names, "lane"]]
 
-    return df.repartition(group).sortWithinPartitions(group, start, key).mapInPandas(run, out)
+    return df.repartition(group, "_piece").sortWithinPartitions(group, "_piece", start, key).mapInPandas(run, out)
 
 
 def clamp(c: Column, low: float, high: float) -> Column:

@@ -20,6 +20,15 @@ def ordinals(df: DataFrame, *keys: str, name: str = "ordinal") -> DataFrame:
     return parts.withColumn("_k", place).join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_k")).drop("_part", "_k", "_before")
 
 
+def running_total(df: DataFrame, amount: str, *keys: str, name: str = "up_to") -> DataFrame:
+    """Adds the sum of `amount` of all rows up to each one, in the order of the keys, which must identify a row; laid out as ordinals() does."""
+    parts = materialize(df.repartitionByRange(*keys).withColumn("_part", F.spark_partition_id()), "ordered")
+    sums = parts.groupBy("_part").agg(F.sum(amount).alias("_n"))
+    before = sums.withColumn("_before", F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).drop("_n")  # a row a partition
+    inside = F.sum(amount).over(Window.partitionBy("_part").orderBy(*keys))
+    return parts.withColumn(name, inside).join(F.broadcast(before), "_part").withColumn(name, F.col(name) + F.col("_before")).drop("_part", "_before")
+
+
 def chunks(df: DataFrame, n: int, *keys: str) -> DataFrame:
     """Adds `chunk`: exactly n contiguous chunks, the first of which are one row larger where n doesn't divide the rows. As ntile(n) - 1."""
     placed = ordinals(df, *keys)
@@ -69,13 +78,13 @@ def level(df: DataFrame, group: list[str], order: list[Column], n: int) -> DataF
     return placed.orderBy("place", *[F.col(g).desc() for g in group]).limit(n)
 
 
-def value_at_share(df: DataFrame, column: str, share: float) -> DataFrame:
+def value_at_share(df: DataFrame, column: str, share: float, few: bool = False) -> DataFrame:
     """One row `value`: that of the sorted non-null values whose 0-based place is floor(count * share); null if there are none.
 
-    The values are counted first, so that only distinct values are ordered.
+    The values are counted first, so that only distinct values are ordered: by ranges, or, if they are known to be `few`, in one task.
     """
     counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
-    up_to = F.sum("n").over(Window.orderBy("value"))
-    total = F.sum("n").over(Window.partitionBy())
-    placed = counts.withColumn("up_to", up_to).withColumn("at", F.floor(total * F.lit(float(share))))
+    placed = counts.withColumn("up_to", F.sum("n").over(Window.orderBy("value"))) if few else running_total(counts, "n", "value")
+    total = placed.agg(F.floor(F.sum("n") * F.lit(float(share))).alias("at"))
+    placed = placed.crossJoin(F.broadcast(total))  # one row
     return placed.agg(F.min(F.when(F.col("up_to") > F.col("at"), F.col("value"))).alias("value"))

@@ -38,21 +38,22 @@ def without_comments(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def token_flags(spark: SparkSession, folder: str) -> DataFrame:
-    """What keeps a generation from a reward: a search tactic, a second fence, too many characters."""
-    a = attempts(spark, folder, "proof_str", "full_generation")
+    """What keeps a generation from a reward: a search tactic, a second fence, too many characters; comments don't count."""
+    a = attempts(spark, folder, "proof_str", "full_generation").withColumn("bare", X.without_comments(F.col("proof_str")))
     return a.agg(
-        F.count_if(F.contains("proof_str", F.lit("try"))).alias("with_try"),
+        F.count_if(F.contains("bare", F.lit("try"))).alias("with_try"),
         F.count_if(X.count_of(F.col("full_generation"), X.OPEN) > 1).alias("two_fences"),
-        F.count_if(F.length("proof_str") > 1000).alias("long"),
+        F.count_if(F.length("bare") > 1000).alias("long"),
         F.count_if("ok").alias("correct"),
         F.count("*").alias("n"),
     )
 
 
 def header_split(spark: SparkSession, folder: str) -> DataFrame:
-    """Every header and a second copy of it, as one header without repeated lines."""
+    """Every statement's file with its header twice, as one header without repeated lines, and what follows it."""
     twice = F.concat(F.coalesce("header", F.lit("")), F.coalesce("header", F.lit("")), F.coalesce("theorem", F.lit("")))
-    return statements(spark, folder, "header", "theorem").select("rec_id", X.header_lines(twice).alias("header"))
+    header, body = X.header_and_body(twice)
+    return statements(spark, folder, "header", "theorem").select("rec_id", header.alias("header"), F.md5(body).alias("body_md5"))
 
 
 def solver_prompts(spark: SparkSession, folder: str) -> DataFrame:
@@ -146,6 +147,7 @@ def last_output_by_source(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (proofs_lenient, proofs_strict, conjectures_extracted, malformed_conjectures, without_comments, token_flags, header_split, solver_prompts, files_assembled, proof_bodies, judge_scores, judge_imputed, judge_metrics, duration_parse, cpu_lists, byte_offsets, sample_table, last_output_by_source)}
 COUNT = "((length({x}) - length(replace({x}, '{w}', ''))) // {n})"
 count = lambda x, w: COUNT.format(x=x, w=w, n=len(w))
+BARE = r"regexp_replace(regexp_replace(proof_str, '/-[\s\S]*?-/', '', 'g'), '--.*', '', 'g')"
 BLANK = r"[\s\x0b\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 strip = lambda x: f"regexp_replace({x}, '^{BLANK}+|{BLANK}+$', '', 'g')"
 LENIENT = """p AS (SELECT *, CASE WHEN contains(g, '```lean4') THEN split_part(g, '```lean4', -1) END AS code FROM g),
@@ -169,8 +171,15 @@ SQL = {
         SELECT iteration, count(*) AS n, count(*) FILTER (NOT coalesce({count("x", ":= by")} = 1 AND {count("x", "sorry")} <= 1 AND (ends_with(y, 'sorry') OR ends_with(y, ':= by')), false)) AS malformed
         FROM z GROUP BY iteration""",
     "without_comments": f"WITH {A} SELECT attempt_id, md5(replace(proof_str, chr(10), ' ' || chr(10))) AS proof_md5 FROM a",
-    "token_flags": f"""WITH {A} SELECT count(*) FILTER (contains(proof_str, 'try')) AS with_try, count(*) FILTER ({count("full_generation", "```lean4")} > 1) AS two_fences,
-        count(*) FILTER (length(proof_str) > 1000) AS long, count(*) FILTER (ok) AS correct, count(*) AS n FROM a""",
+    "token_flags": f"""WITH {A} SELECT count(*) FILTER (contains({BARE}, 'try')) AS with_try, count(*) FILTER ({count("full_generation", "```lean4")} > 1) AS two_fences,
+        count(*) FILTER (length({BARE}) > 1000) AS long, count(*) FILTER (ok) AS correct, count(*) AS n FROM a""",
+    "header_split": f"""WITH {S}, x AS (SELECT rec_id, string_split_regex(coalesce(header, '') || coalesce(header, '') || coalesce(theorem, ''), '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x{{85}}\\x{{2028}}\\x{{2029}}]') AS l FROM s),
+        y AS (SELECT rec_id, CASE WHEN l[-1] = '' THEN l[1:-2] ELSE l END AS l FROM x),
+        n AS (SELECT rec_id, l, coalesce(list_position(list_transform(l, lambda v: regexp_matches({strip("v")}, '^((import|set_option|open) |$)')), false), len(l) + 1) - 1 AS n FROM y),
+        h AS (SELECT rec_id, l, n, list_filter(list_transform(l[1:n], lambda v: {strip("v")}), lambda v: v <> '') AS h FROM n),
+        o AS (SELECT rec_id, l, n, h, list_filter(h, lambda v: NOT starts_with(v, 'import Mathlib')) AS o FROM h)
+        SELECT rec_id, array_to_string(list_concat(CASE WHEN len(o) < len(h) THEN ['import Mathlib'] ELSE []::VARCHAR[] END, list_filter(o, lambda v, k: list_position(o, v) = k)), chr(10)) || chr(10) || chr(10) AS header,
+            md5(array_to_string(l[n + 1:], chr(10))) AS body_md5 FROM o""",
     "solver_prompts": f"""WITH {S}, b AS (SELECT rec_id, {strip("'Complete the proof.' || chr(10) || chr(10) || '```lean4' || chr(10) || coalesce(header, '') || coalesce(theorem, '') || chr(10) || '```' || chr(10)")} AS x FROM s)
         SELECT rec_id, 'user' AS role, length(x) AS chars, md5(x) AS content_md5 FROM b UNION ALL SELECT rec_id, 'system', 19, md5('You prove theorems.') FROM b""",
     "files_assembled": f"""WITH {S}, {A}, f AS (SELECT attempt_id, coalesce(header, '') || CASE WHEN contains(theorem, 'by') OR contains(proof_str, 'by') THEN theorem ELSE theorem || ' by' || chr(10) END || proof_str AS x

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lemmalake.operators.dedup import append_up_to, cycled, first_of, new_first, repeated
-from lemmalake.operators.order import chunks, epoch_batch, hash_order, latest, level, shards
+from lemmalake.operators.order import chunks, epoch_batch, hash_order, latest, level, ordinals, shards
 from lemmalake.plans.base import A, C, S, attempts, conjectures, statements
 
 
@@ -17,10 +17,14 @@ def dedup_keep_first_anti(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def merge_proofs(spark: SparkSession, folder: str) -> DataFrame:
-    """The correct proofs of each statement over all iterations, each text once, from the earliest attempt that has it."""
+    """The correct proofs of each theorem over all of its statements and iterations, each text once, from the earliest attempt that has it; the
+    theorem is named by its first record."""
+    s = statements(spark, folder, "theorem").where("theorem IS NOT NULL")
+    first = s.groupBy("theorem").agg(F.min("rec_id").alias("first_rec"))
     a = attempts(spark, folder, "proof_str", "iteration_created").where("ok AND statement_id IS NOT NULL")
-    kept = first_of(a, ["statement_id", "proof_str"], [F.coalesce("iteration_created", F.lit(-1)), F.col("attempt_id")])
-    return kept.select("statement_id", "attempt_id")
+    both = a.join(s.join(first, "theorem").select(F.col("id").alias("statement_id"), "first_rec"), "statement_id")
+    kept = first_of(both, ["first_rec", "proof_str"], [F.coalesce("iteration_created", F.lit(-1)), F.col("attempt_id")])
+    return kept.select("first_rec", "attempt_id")
 
 
 def water_fill(spark: SparkSession, folder: str) -> DataFrame:
@@ -89,9 +93,11 @@ def few_shot_pick(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def nest_by_source(spark: SparkSession, folder: str) -> DataFrame:
-    """The ids of each source's statements as one text, in order: the nested form, made at the edge only."""
-    s = statements(spark, folder, "source").groupBy("source").agg(F.array_sort(F.collect_list("id")).alias("ids"))
-    return s.select("source", F.size("ids").cast("long").alias("n"), F.md5(F.array_join("ids", ",")).alias("ids_md5"))
+    """Each source's statements in the order of their ids, as rows with their place: the nested form without a row of unbounded size."""
+    s = ordinals(statements(spark, folder, "source").withColumn("named", F.coalesce("source", F.lit(""))), "named", "id", "rec_id")
+    first = s.groupBy("source").agg(F.min("ordinal").alias("first"))
+    both = s.join(first.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")))
+    return both.select("source", "rec_id", (F.col("ordinal") - F.col("first")).alias("place"))
 
 
 def union_train_data(spark: SparkSession, folder: str) -> DataFrame:
@@ -105,8 +111,9 @@ QUERIES = {f.__name__: f for f in (dedup_keep_first_anti, merge_proofs, water_fi
 SQL = {
     "dedup_keep_first_anti": f"""WITH {S}, {C} SELECT rec_id FROM (SELECT *, row_number() OVER (PARTITION BY conjecture ORDER BY iteration, rec_id) AS k FROM c
         WHERE conjecture IS NOT NULL AND NOT EXISTS (SELECT 1 FROM s WHERE s.theorem = c.conjecture)) WHERE k = 1""",
-    "merge_proofs": f"""WITH {A} SELECT statement_id, attempt_id FROM a WHERE ok AND statement_id IS NOT NULL
-        QUALIFY row_number() OVER (PARTITION BY statement_id, proof_str ORDER BY coalesce(iteration_created, -1), attempt_id) = 1""",
+    "merge_proofs": f"""WITH {S}, {A}, f AS (SELECT id, min(rec_id) OVER (PARTITION BY theorem) AS first_rec FROM s WHERE theorem IS NOT NULL)
+        SELECT first_rec, attempt_id FROM a JOIN f ON statement_id = f.id WHERE ok
+        QUALIFY row_number() OVER (PARTITION BY first_rec, proof_str ORDER BY coalesce(iteration_created, -1), attempt_id) = 1""",
     "water_fill": f"""WITH {A}, p AS (SELECT statement_id, attempt_id, row_number() OVER (PARTITION BY statement_id ORDER BY attempt_id) AS k FROM a WHERE ok AND statement_id IS NOT NULL)
         SELECT statement_id, attempt_id FROM p ORDER BY k, statement_id DESC LIMIT 1000""",
     "bounded_append": f"""WITH {A}, x AS (SELECT * FROM a WHERE ok AND statement_id IS NOT NULL AND iteration_created IS NOT NULL),
@@ -135,7 +142,7 @@ SQL = {
         w AS (SELECT id, k, (('0x' || substr(md5('13/' || id), 1, 8))::BIGINT % m + k) % m AS o FROM s, m, range(0, 4) AS g(k) WHERE theorem IS NOT NULL AND lower(trim(split)) = 'test' AND m > 3),
         f AS (SELECT id, example, row_number() OVER (PARTITION BY id ORDER BY k) AS rank FROM w JOIN pool USING (o) WHERE id <> example)
         SELECT id, rank::INT AS rank, example FROM f WHERE rank <= 3""",
-    "nest_by_source": f"WITH {S} SELECT source, count(*) AS n, md5(string_agg(id, ',' ORDER BY id)) AS ids_md5 FROM s GROUP BY source",
+    "nest_by_source": f"WITH {S} SELECT source, rec_id, row_number() OVER (PARTITION BY source ORDER BY id, rec_id) - 1 AS place FROM s",
     "union_train_data": f"""WITH {S}, {C} SELECT kind, count(*) AS n, count(text) AS n_texts, sum(length(text))::BIGINT AS chars FROM
         (SELECT 'statement' AS kind, theorem AS text FROM s UNION ALL SELECT 'conjecture', conjecture FROM c) GROUP BY kind""",
 }

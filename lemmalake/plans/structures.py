@@ -49,11 +49,23 @@ def proof_segments(spark: SparkSession, folder: str) -> DataFrame:
 
 def proof_tree(spark: SparkSession, folder: str) -> DataFrame:
     """The tree of each statement's proofs, where proofs share the nodes of their common first lines: its nodes and depth."""
+    return nodes(spark, folder).groupBy("statement_id").agg(F.count("*").alias("nodes"), F.max("depth").alias("depth"))
+
+
+def nodes(spark: SparkSession, folder: str) -> DataFrame:
+    """(statement_id, depth, path, line, proofs): the nodes of the trees; path is a hash of the lines up to the node, carried on from line to
+    line, and proofs how many attempts go through it."""
     a = attempts(spark, folder, "proof_str").where("statement_id IS NOT NULL")
-    lines = a.select("statement_id", F.slice(F.filter(F.split("proof_str", "\n"), lambda x: F.trim(x) != ""), 1, 12).alias("l"))
-    paths = lines.select("statement_id", F.explode(F.when(F.size("l") > 0, F.transform(F.sequence(F.lit(1), F.size("l")), lambda k: F.struct(k.alias("depth"), F.xxhash64(F.slice("l", F.lit(1), k)).alias("path"))))).alias("p"))
-    nodes = paths.select("statement_id", "p.*").distinct()
-    return nodes.groupBy("statement_id").agg(F.count("*").alias("nodes"), F.max("depth").alias("depth"))
+    lines = a.select("statement_id", F.filter(F.split("proof_str", "\n"), lambda x: F.trim(x) != "").alias("l"))
+    none = F.array().cast("array<bigint>")
+    path = F.aggregate("l", none, lambda p, x: F.concat(p, F.array(F.xxhash64(F.coalesce(F.try_element_at(p, F.lit(-1)), F.lit(0)), x))))
+    rows = lines.select("statement_id", F.posexplode(F.arrays_zip(path.alias("path"), F.col("l").alias("line"))).alias("k", "p"))
+    return rows.groupBy("statement_id", (F.col("k") + 1).alias("depth"), "p.path").agg(F.first("p.line").alias("line"), F.count("*").alias("proofs"))
+
+
+def proof_nodes(spark: SparkSession, folder: str) -> DataFrame:
+    """The trees as lists of nodes: each node's depth, its line, and the attempts that go through it."""
+    return nodes(spark, folder).select("statement_id", "depth", F.md5("line").alias("line_md5"), "proofs")
 
 
 def best_branch(spark: SparkSession, folder: str) -> DataFrame:
@@ -96,7 +108,21 @@ def task_lives_stream(spark: SparkSession, folder: str) -> DataFrame:
     return tasks.lives(spark, folder)
 
 
-QUERIES = {f.__name__: f for f in (nested_round_trip, source_violations, accounting_log, proof_segments, proof_tree, best_branch, json_keys, provider_verify, provider_generate, task_first_result_stream, event_windows_stream, task_lives_stream)}
+def unseen_tasks_stream(spark: SparkSession, folder: str) -> DataFrame:
+    return tasks.unseen(spark, folder)
+
+
+def answered_tasks_stream(spark: SparkSession, folder: str) -> DataFrame:
+    return tasks.answered(spark, folder)
+
+
+def worker_sessions(spark: SparkSession, folder: str) -> DataFrame:
+    """Each worker's sessions, which end when nothing comes for 6 hours: how many there are, and the most events of one."""
+    e = table(spark, folder, "events").groupBy(F.col("user_id").alias("worker"), F.session_window("ts", "6 hours").alias("w")).agg(F.count("*").alias("n"))
+    return e.groupBy("worker").agg(F.count("*").alias("sessions"), F.max("n").alias("longest"))
+
+
+QUERIES = {f.__name__: f for f in (nested_round_trip, source_violations, accounting_log, proof_segments, proof_tree, proof_nodes, best_branch, json_keys, provider_verify, provider_generate, task_first_result_stream, event_windows_stream, task_lives_stream, unseen_tasks_stream, answered_tasks_stream, worker_sessions)}
 E_ = "WITH e AS (SELECT event_id, user_id AS worker, (props::JSON ->> '$.k')::BIGINT AS task, ts, event_type, value FROM events)"
 SQL = {
     "nested_round_trip": f"""WITH {S}, {A} SELECT s.id, md5(s.theorem) AS theorem_md5, count(a.attempt_id) AS n, count(*) FILTER (a.ok) AS correct, coalesce(sum(length(a.proof_str)), 0)::BIGINT AS chars
@@ -110,9 +136,12 @@ SQL = {
     "proof_segments": f"""WITH {A}, l AS (SELECT attempt_id, unnest(string_split(proof_str, chr(10))) AS line, generate_subscripts(string_split(proof_str, chr(10)), 1) AS k FROM a),
         x AS (SELECT attempt_id, sum(CASE WHEN regexp_matches(line, '^ {{0,2}}[^ ]') THEN 1 ELSE 0 END) OVER (PARTITION BY attempt_id ORDER BY k) AS seg FROM l WHERE trim(line, ' ') <> ''),
         y AS (SELECT attempt_id, seg, count(*) AS n FROM x GROUP BY ALL) SELECT attempt_id, count(*) AS segments, max(n) AS longest FROM y GROUP BY 1""",
-    "proof_tree": f"""WITH {A}, l AS (SELECT statement_id, list_filter(string_split(proof_str, chr(10)), lambda x: trim(x, ' ') <> '')[1:12] AS l FROM a WHERE statement_id IS NOT NULL),
-        p AS (SELECT DISTINCT statement_id, k AS depth, array_to_string(l[1:k], chr(10)) AS path FROM l, range(1, 13) AS g(k) WHERE k <= len(l))
+    "proof_tree": f"""WITH {A}, l AS (SELECT statement_id, list_filter(string_split(proof_str, chr(10)), lambda x: trim(x, ' ') <> '') AS l FROM a WHERE statement_id IS NOT NULL),
+        p AS (SELECT DISTINCT statement_id, k AS depth, array_to_string(l[1:k], chr(10)) AS path FROM l, range(1, (SELECT max(len(l)) FROM l) + 1) AS g(k) WHERE k <= len(l))
         SELECT statement_id, count(*) AS nodes, max(depth)::INT AS depth FROM p GROUP BY 1""",
+    "proof_nodes": f"""WITH {A}, l AS (SELECT statement_id, list_filter(string_split(proof_str, chr(10)), lambda x: trim(x, ' ') <> '') AS l FROM a WHERE statement_id IS NOT NULL),
+        p AS (SELECT statement_id, k AS depth, array_to_string(l[1:k], chr(10)) AS path, l[k] AS line FROM l, range(1, (SELECT max(len(l)) FROM l) + 1) AS g(k) WHERE k <= len(l))
+        SELECT statement_id, depth::INT AS depth, md5(line) AS line_md5, count(*) AS proofs FROM p GROUP BY statement_id, depth, path, line""",
     "best_branch": f"""WITH {A}, b AS (SELECT statement_id, source, count(*) AS n, avg(ok::INT) AS v FROM a WHERE statement_id IS NOT NULL AND source IS NOT NULL GROUP BY ALL),
         c AS (SELECT *, round(v + sqrt(2 * ln(greatest(sum(n) OVER (PARTITION BY statement_id), 2)::DOUBLE) / greatest(n, 0.01)), 6) AS score FROM b)
         SELECT statement_id, source, score FROM c QUALIFY row_number() OVER (PARTITION BY statement_id ORDER BY score DESC, source) = 1""",
@@ -122,6 +151,11 @@ SQL = {
     "provider_generate": f"WITH {C} SELECT rec_id, coalesce(length(conjecture), 0) AS input_chars, conjecture IS NULL AS is_error FROM c",
     "task_first_result_stream": f"""{E_}, x AS (SELECT *, row_number() OVER (PARTITION BY task ORDER BY event_id) AS k, count(*) OVER (PARTITION BY task) AS m FROM e WHERE event_type = 'purchase')
         SELECT task, value AS result, worker, m - 1 AS duplicates FROM x WHERE k = 1""",
+    "unseen_tasks_stream": f"{E_} SELECT DISTINCT task FROM e WHERE event_type = 'purchase' AND task IS NOT NULL",
+    "answered_tasks_stream": f"{E_} SELECT g.task, g.event_id AS given, r.event_id AS result FROM e AS g JOIN e AS r ON g.task = r.task AND r.ts BETWEEN g.ts AND g.ts + INTERVAL 1 HOUR WHERE g.event_type = 'view' AND r.event_type = 'purchase'",
+    "worker_sessions": f"""{E_}, l AS (SELECT worker, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY worker ORDER BY ts) + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM e),
+        s AS (SELECT worker, sum(fresh) OVER (PARTITION BY worker ORDER BY ts) AS k FROM l), n AS (SELECT worker, k, count(*) AS n FROM s GROUP BY ALL)
+        SELECT worker, count(*) AS sessions, max(n) AS longest FROM n GROUP BY worker""",
     "task_lives_stream": f"""{E_}, w AS (SELECT task, worker, max(event_id) FILTER (event_type = 'view') AS v, max(event_id) FILTER (event_type = 'error') AS x FROM e WHERE task IS NOT NULL GROUP BY ALL),
         h AS (SELECT task, count(*) FILTER (v > coalesce(x, -1)) AS h FROM w GROUP BY 1)
         SELECT task, count(*) FILTER (event_type = 'view')::INT AS given, CASE WHEN bool_or(event_type = 'purchase') THEN 0 ELSE max(h) END::INT AS holders, bool_or(event_type = 'purchase') AS done

@@ -43,11 +43,11 @@ def pad_mask(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def shifted_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    """How often each token stands directly after token 0, the 20 most frequent ones."""
+    """The 20 pairs of neighbouring tokens, label after input, that are the most frequent in all samples."""
     t = samples(spark, folder, "gen_tokens").where("size(gen_tokens) > 1")
     n = F.size("gen_tokens") - 1
     pairs = t.select(F.inline(F.arrays_zip(F.slice("gen_tokens", F.lit(1), n).alias("a"), F.slice("gen_tokens", F.lit(2), n).alias("b"))))
-    return pairs.where("a = 0").groupBy(F.col("b").alias("token")).agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "token").limit(20)
+    return pairs.groupBy("a", "b").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "a", "b").limit(20)
 
 
 def weighted_loss(spark: SparkSession, folder: str) -> DataFrame:
@@ -74,7 +74,7 @@ SQL = {
     "pad_mask": f"""WITH {C}, x AS (SELECT rec_id, conjecture_full_generation_tokens AS g FROM c WHERE conjecture_full_generation_tokens IS NOT NULL)
         SELECT rec_id, greatest(210, len(g) + 3)::BIGINT AS size, greatest(210, len(g) + 3) - len(list_filter(g, lambda v: v <> -100)) AS masked, coalesce(g[-1], -100) AS last FROM x""",
     "shifted_pairs": f"""WITH {T}, x AS (SELECT unnest(gen_tokens[1:-2]) AS a, unnest(gen_tokens[2:]) AS b FROM t WHERE len(gen_tokens) > 1)
-        SELECT b AS token, count(*) AS n FROM x WHERE a = 0 GROUP BY 1 ORDER BY n DESC, token LIMIT 20""",
+        SELECT a, b, count(*) AS n FROM x GROUP BY ALL ORDER BY n DESC, a, b LIMIT 20""",
     "weighted_loss": f"""WITH {T} SELECT group_id, round(-sum(coalesce(list_sum(log_prob_over_gen), 0) * advantage) / greatest(sum(len(log_prob_over_gen)), 1), 5) + 0.0 AS loss
         FROM t WHERE log_prob_over_gen IS NOT NULL AND isfinite(advantage) GROUP BY 1""",
     "end_tokens": f"""WITH {T} SELECT gen_tokens[-1] AS token, count(*) AS n FROM t WHERE len(gen_tokens) BETWEEN 1 AND 511 GROUP BY 1 ORDER BY n DESC, token LIMIT 20""",

@@ -161,9 +161,9 @@ def holders(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def chunk_retries(spark: SparkSession, folder: str) -> DataFrame:
-    """Attempts in chunks of 50: a chunk with more than a tenth of system errors is tried again; by how many such chunks and rows."""
-    r = replies(spark, folder).groupBy(F.floor(F.col("attempt_id") / 50).alias("chunk")).agg(F.count("*").alias("n"), F.count_if(F.col("system_errors").isNotNull()).alias("bad"))
-    return r.agg(F.count("*").alias("chunks"), F.count_if(F.col("bad") * 10 > F.col("n")).alias("again"), F.coalesce(F.sum(F.when(F.col("bad") * 10 > F.col("n"), F.col("n"))), F.lit(0)).alias("rows_again"))
+    """Attempts in chunks of 8: a chunk with more than 90 % of system errors is tried again; by how many such chunks and rows."""
+    r = replies(spark, folder).groupBy(F.floor(F.col("attempt_id") / 8).alias("chunk")).agg(F.count("*").alias("n"), F.count_if(F.col("system_errors").isNotNull()).alias("bad"))
+    return r.agg(F.count("*").alias("chunks"), F.count_if(F.col("bad") > 0.9 * F.col("n")).alias("again"), F.coalesce(F.sum(F.when(F.col("bad") > 0.9 * F.col("n"), F.col("n"))), F.lit(0)).alias("rows_again"))
 
 
 def tumbling_errors(spark: SparkSession, folder: str) -> DataFrame:
@@ -205,7 +205,7 @@ SQL = {
         FROM e WHERE task IS NOT NULL GROUP BY task) SELECT CASE WHEN done THEN 'done' WHEN held THEN 'in_progress' ELSE 'pending' END AS state, count(*) AS n_tasks FROM x GROUP BY 1""",
     "holders": f"""{E_}, n AS (SELECT task, count(DISTINCT worker) AS n_workers FROM e WHERE event_type = 'view' AND task IS NOT NULL GROUP BY 1)
         SELECT task, n_workers, row_number() OVER (ORDER BY n_workers, task) AS place FROM n QUALIFY place <= 10""",
-    "chunk_retries": f"""{V}, x AS (SELECT attempt_id // 50 AS chunk, count(*) AS n, count(*) FILTER (system_errors IS NOT NULL) AS bad FROM v GROUP BY 1)
-        SELECT count(*) AS chunks, count(*) FILTER (bad * 10 > n) AS again, coalesce(sum(n) FILTER (bad * 10 > n), 0)::BIGINT AS rows_again FROM x""",
+    "chunk_retries": f"""{V}, x AS (SELECT attempt_id // 8 AS chunk, count(*) AS n, count(*) FILTER (system_errors IS NOT NULL) AS bad FROM v GROUP BY 1)
+        SELECT count(*) AS chunks, count(*) FILTER (bad > 0.9 * n) AS again, coalesce(sum(n) FILTER (bad > 0.9 * n), 0)::BIGINT AS rows_again FROM x""",
     "tumbling_errors": "SELECT (epoch_us(ts) // 21600000000) * 21600000000 AS start_us, count(*) AS n, count(*) FILTER (event_type = 'error') AS errors FROM events GROUP BY 1",
 }

@@ -19,9 +19,14 @@ def shared_folder(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def run_folder(spark: SparkSession) -> str:
+    """The folder of all intermediate tables of this application."""
+    return f"{shared_folder(spark)}/{spark.sparkContext.applicationId}"
+
+
 def new_table(spark: SparkSession, name: str) -> str:
     """The path of a table that doesn't exist yet."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{run_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
@@ -29,3 +34,9 @@ def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
     path = new_table(df.sparkSession, name)
     df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes the intermediate tables of this application. Results that weren't written yet can't be computed any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

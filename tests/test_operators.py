@@ -1,14 +1,21 @@
 """Operators against direct computations on small rows."""
 
+import datetime
+import json
+import math
+import os
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from lemmalake import storage
 from lemmalake.functions import scores as M
 from lemmalake.functions import text as X
 from lemmalake.operators import dedup, intervals, order
+from lemmalake.plans.rewards import cascade
 from lemmalake.sources import files
+from lemmalake.streaming import tasks
 
 
 def values(spark, texts, f):
@@ -44,9 +51,34 @@ def test_durations_and_lists(spark):
     assert values(spark, ["0-3,8,10-11", "5", ""], X.cpu_count) == [7, 1, 0]
 
 
-def test_header_lines(spark):
-    text = "import Mathlib\nimport Aesop\n\nopen Nat\nimport Mathlib\nopen Nat\ntheorem a"
-    assert values(spark, [text, "theorem b", ""], X.header_lines) == ["import Mathlib\nimport Aesop\nopen Nat", "", ""]
+def test_header_and_body(spark):
+    texts = [
+        "import Mathlib\nimport Aesop\n\nopen Nat\nimport Mathlib.Tactic\n  open Nat\ntheorem a\nopen B",
+        "theorem b",
+        "",
+        "import Aesop\nset_option x\n",
+        "opened",
+        "import Mathlib\r\n\topen A\u2028x",
+    ]
+    want = [("import Mathlib\nimport Aesop\nopen Nat\n\n", "theorem a\nopen B"), ("\n\n", "theorem b"), ("\n\n", ""), ("import Aesop\nset_option x\n\n", ""), ("\n\n", "opened"), ("import Mathlib\nopen A\n\n", "x")]
+    for k in (0, 1):
+        assert values(spark, texts, lambda c, k=k: X.header_and_body(c)[k]) == [w[k] for w in want]
+
+
+def test_lines_and_sizes(spark):
+    assert values(spark, ["ab\ncde\nf"] * 2, lambda c: X.at_line(c, F.lit(1), F.lit(2))) == [5, 5]
+    assert values(spark, ["ab"], lambda c: X.at_line(c, F.lit(3), F.lit(0))) == [None]
+    assert values(spark, ["128G", "3G", "x", None, "12"], lambda c: X.gigabytes(c, F.lit(8))) == [16, 1, None, None, None]
+    assert values(spark, ["a ```b``` c", "a", None], X.before_fence) == ["a ", "a", None]
+
+
+def test_rewards_leave_comments_out(spark):
+    long = "simp\n" + "-- word\n" * 200
+    rows = [(True, "simp -- try this", "g", 1), (True, "/- try -/ simp", "g", 1), (True, "try simp", "g", 1), (True, long, "g", 1), (False, "simp", "g", 1), (True, "simp", "```lean4 ```lean4", 1), (True, "simp", "g", 150)]
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "k int, ok boolean, p string, g string, n int")
+    got = [r.r for r in df.select("k", cascade(F.col("ok"), F.col("p"), F.col("g"), F.col("n")).alias("r")).orderBy("k").collect()]
+    want = [math.exp(-0.001 * len(rows[0][1])), math.exp(-0.001 * len(rows[1][1])), 0.0, math.exp(-0.001 * len(long)), 0.0, 0.0, -1.0]
+    assert got == pytest.approx(want)
 
 
 def test_byte_offsets(spark):
@@ -70,8 +102,9 @@ def test_rubric(spark):
 def test_value_at_share(spark, n):
     rng = random.Random(n)
     v = sorted(rng.choice([0.125, 0.25, 0.5, 0.75]) for _ in range(n))
-    got = order.value_at_share(spark.createDataFrame([(x,) for x in v] + [(None,)], "x double"), "x", 0.7).first().value
-    assert got == (v[int(n * 0.7)] if n else None)
+    df = spark.createDataFrame([(x,) for x in v] + [(None,)], "x double")
+    for few in (True, False):
+        assert order.value_at_share(df, "x", 0.7, few).first().value == (v[int(n * 0.7)] if n else None)
 
 
 @pytest.mark.parametrize(("n", "chunks"), [(0, 3), (2, 5), (10, 3), (12, 4)])
@@ -127,7 +160,8 @@ def test_lanes(spark):
     rng = random.Random(9)
     spans = sorted((s := rng.randint(0, 60), s + rng.randint(0, 15)) for _ in range(60))
     df = spark.createDataFrame([("n", s, e, k) for k, (s, e) in enumerate(spans)], "g string, s long, e long, k long")
-    assert [r.lane for r in intervals.lanes(df, "g", "s", "e", "k").orderBy("k").collect()] == greedy(spans)
+    for slot in (1, 5, 10**9):
+        assert [r.lane for r in intervals.lanes(df, "g", "s", "e", "k", slot).orderBy("k").collect()] == greedy(spans)
     long = [x for x in spans if x[0] < x[1]]
     peak = max(sum(s <= t < e for s, e in long) for t in range(80))
     assert intervals.peak(df, ["g"], "s", "e").first().peak == peak
@@ -141,6 +175,44 @@ def test_empty_tables(spark):
     assert order.shards(none, 3, "k").count() == 0
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_streams_in_several_batches(spark, tmp_path, seed):
+    """The result is the same however the log is cut and in whatever order its parts come."""
+    rng = random.Random(seed)
+    start = datetime.datetime(2024, 1, 1)
+    rows = [(k, start + datetime.timedelta(minutes=7 * k), rng.randint(0, 3), rng.choice(["view", "view", "error", "purchase"]), float(k % 13), json.dumps({"k": rng.randint(0, 9)})) for k in range(120)]
+    schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+    one, many = tmp_path / "one", tmp_path / "many"
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{one}/events.parquet")
+    parts = [rows[k::6] for k in range(6)]
+    rng.shuffle(parts)
+    for part in parts:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{many}/events.parquet")
+    for f in (tasks.first_results, tasks.lives, tasks.windows, tasks.unseen, tasks.answered):
+        whole, cut = (sorted(map(tuple, f(spark, str(d), 1).collect()), key=repr) for d in (one, many))
+        assert whole == cut and whole
+    life = {}
+    for k, _, w, kind, _, props in rows:
+        t = life.setdefault(json.loads(props)["k"], {"given": 0, "done": False, "last": {}})
+        t["given"] += kind == "view"
+        t["done"] |= kind == "purchase"
+        if kind in ("view", "error"):
+            t["last"][w] = kind
+    want = {(k, t["given"], 0 if t["done"] else sum(v == "view" for v in t["last"].values()), t["done"]) for k, t in life.items()}
+    assert {tuple(r) for r in tasks.lives(spark, str(many), 2).collect()} == want
+
+
+def test_release(spark):
+    df = storage.materialize(spark.range(3), "x")
+    assert df.count() == 3
+    folder = storage.run_folder(spark).removeprefix("file://")
+    assert os.listdir(folder)
+    storage.release(spark)
+    assert not os.path.exists(folder)
+    storage.release(spark)
+    assert storage.materialize(spark.range(3), "x").count() == 3
+
+
 def test_files(spark, tmp_path):
     with pytest.raises(ValueError, match="only"):
         files.read(spark, "x.pkl")
