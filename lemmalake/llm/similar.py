@@ -53,6 +53,43 @@ def slices(batch: pd.DataFrame, column: str, chars: int = 4_000_000) -> Iterator
         yield batch[piece == k].reset_index(drop=True)
 
 
+def bitmap(rows: DataFrame, column: str, bits: int) -> np.ndarray:
+    """Which numbers the column has, modulo `bits` (a power of 2, 2^16 at least), packed. The driver gets bits / 2^16 rows of 8 KB, however many
+    rows there are."""
+
+    def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            k = np.unique(b[column].to_numpy() % bits)
+            at = np.nonzero(np.append(True, k[1:] >> 16 != k[:-1] >> 16))[0] if len(k) else np.empty(0, dtype=np.int64)
+            packed = [pack(x) for x in np.split(k & 0xFFFF, at[1:])] if len(k) else []
+            yield pd.DataFrame({"part": k[at] >> 16, "bits": np.array(packed, dtype=object)})
+
+    def pack(k: np.ndarray) -> bytes:
+        one = np.zeros(1 << 16, dtype=bool)
+        one[k] = True
+        return np.packbits(one).tobytes()
+
+    def merged(x: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"part": [x.part.iloc[0]], "bits": [np.bitwise_or.reduce([np.frombuffer(b, dtype=np.uint8) for b in x.bits]).tobytes()]})
+
+    sets = rows.select(column).repartition(F.floor(F.pmod(column, F.lit(bits)) / 65536)).mapInPandas(parts, "part long, bits binary")
+    out = np.zeros((bits >> 16, 1 << 13), dtype=np.uint8)
+    for r in sets.groupBy("part").applyInPandas(merged, "part long, bits binary").toLocalIterator():
+        out[r.part] = np.frombuffer(r.bits, dtype=np.uint8)
+    return out.ravel()
+
+
+def bits_for(n: int, least: int = 1 << 16, most: int = 1 << 27) -> int:
+    """How many bits a bitmap of n numbers should have: about 16 for each, between two bounds."""
+    return min(most, max(least, 1 << int(16 * n).bit_length()))
+
+
+def in_bitmap(packed: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+    """Which numbers are in a bitmap, or may be."""
+    k = numbers.view(np.int64) % (8 * len(packed))
+    return (packed[k >> 3] >> (7 - (k & 7)).astype(np.uint8) & 1).astype(bool)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
@@ -162,14 +199,17 @@ def allocate(heads: DataFrame, counts: np.ndarray) -> list[tuple[int, int]]:
     return [min(enumerate(c), key=lambda kc, b=b: costs.get((b, kc[0]), 0.0))[1] for b, c in enumerate(CHOICES)]
 
 
-def signatures(heads: DataFrame, counts: np.ndarray, chosen: list[tuple[int, int]], counted: bool = False) -> DataFrame:
+def signatures(heads: DataFrame, counts: np.ndarray, chosen: list[tuple[int, int]], other: np.ndarray | None = None) -> DataFrame:
     """(sig, rep, size, one, two): the t-subsets of the segments of each text's prefix, for each band that it belongs to, with the
-    text's size and parity bits. counted: only tokens of words that are in the counts, where these hold all words of the other side."""
-    sent = heads.sparkSession.sparkContext.broadcast(counts)  # BUCKETS entries
+    text's size and parity bits. other: a bitmap of the other side's signatures, if there is another side, whose words alone the counts
+    then hold; only signatures that may be there are given."""
+    sent = heads.sparkSession.sparkContext.broadcast((counts, other))  # BUCKETS entries, the bits of a bitmap
+
+    sided = other is not None
 
     def of_band(p: Prefixes, band: int, low: int, high: int, g: int, t: int) -> tuple[np.ndarray, np.ndarray]:
         inside = p.prefix(g * (t - 1) + 1) & ((p.sizes >= low) & (p.sizes <= high))[p.row]
-        if counted:
+        if sided:
             inside &= p.often > 0
         row, token = p.row[inside], p.token[inside]
         segment = (token >> np.uint64(40)) % np.uint64(g)
@@ -189,10 +229,13 @@ def signatures(heads: DataFrame, counts: np.ndarray, chosen: list[tuple[int, int
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in (s for batch in batches for s in slices(batch, "bag")):
-            p = Prefixes(b.bag, sent.value)
+            p = Prefixes(b.bag, sent.value[0])
             rep, size, (one, two) = b.rep.to_numpy(), b["size"].to_numpy(), parity(p.token, p.sizes)
             for band, ((low, high), (g, t)) in enumerate(zip(BANDS, chosen, strict=True)):
                 sig, of = of_band(p, band, low, high, g, t)
+                if sided:
+                    may = in_bitmap(sent.value[1], sig)
+                    sig, of = sig[may], of[may]
                 yield pd.DataFrame({"sig": sig.view(np.int64), "rep": rep[of], "size": size[of], "one": one[of], "two": two[of]})
 
     return heads.select("rep", "size", "bag").mapInPandas(make, "sig long, rep long, size int, one long, two long")
@@ -282,4 +325,12 @@ ALIKE = """o AS (SELECT side, rec_id, word, row_number() OVER (PARTITION BY rec_
     n AS (SELECT rec_id, count(*) AS n FROM o GROUP BY 1),
     p AS (SELECT a.rec_id AS i, b.rec_id AS j, count(*) AS c FROM o AS a JOIN o AS b ON a.word = b.word AND a.k = b.k AND {which} GROUP BY ALL)
     SELECT least(i, j) AS id_a, greatest(i, j) AS id_b FROM p JOIN n AS x ON x.rec_id = i JOIN n AS y ON y.rec_id = j WHERE 4 * c >= 3 * greatest(x.n, y.n)"""
-SQL = {"p5_found": f"WITH rec AS (SELECT 1 AS side, * FROM ({TRAINING})), " + ALIKE.replace("{which}", "a.rec_id < b.rec_id")}
+SQL = {
+    "p5_found": f"WITH rec AS (SELECT 1 AS side, * FROM ({TRAINING})), " + ALIKE.replace("{which}", "a.rec_id < b.rec_id"),
+    "p5_classes": f"""WITH w AS (SELECT rec_id, list_sort(regexp_extract_all(lower(x), '[\\p{{L}}\\p{{N}}]+')) AS l FROM ({TRAINING}) WHERE x IS NOT NULL),
+        m AS (SELECT rec_id, l, min(rec_id) OVER (PARTITION BY l) AS class_id FROM w WHERE len(l) > 0),
+        o AS (SELECT rec_id, word, row_number() OVER (PARTITION BY rec_id, word) AS k FROM (SELECT rec_id, unnest(l) AS word FROM m WHERE rec_id = class_id)),
+        p AS (SELECT a.rec_id AS i, b.rec_id AS j, count(*) AS c FROM o AS a JOIN o AS b ON a.word = b.word AND a.k = b.k AND a.rec_id <> b.rec_id GROUP BY ALL),
+        n AS (SELECT i, count(*) AS links FROM p JOIN m AS x ON x.rec_id = i JOIN m AS y ON y.rec_id = j WHERE 4 * c >= 3 * greatest(len(x.l), len(y.l)) GROUP BY i)
+        SELECT rec_id, class_id, coalesce(links, 0) AS links FROM m LEFT JOIN n ON i = class_id""",
+}
