@@ -255,4 +255,28 @@ def p6_copies(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {"p6_found": p6_found, "p6_copies": p6_copies}
-SQL: dict[str, str] = {}
+#: Keys of the texts by the definition: letters and digits in lower case, of theorems for name, sorted binders and goal, which begins at the first colon
+#: outside of brackets.
+COPIES = """WITH p AS (SELECT DISTINCT 'attempts' AS tbl, attempt_id AS id, {bare:proof_str} AS key FROM attempts WHERE proof_str IS NOT NULL AND trim(proof_str) <> 'NO CODE FOUND'),
+    t AS (SELECT DISTINCT rec_id AS id, theorem AS x FROM statements WHERE theorem IS NOT NULL AND {bare:theorem} <> ''),
+    c AS (SELECT id, x, unnest(range(1, length(x) + 1)) AS k FROM t),
+    d AS (SELECT id, k, substr(x, k, 1) AS c, sum(CASE WHEN substr(x, k, 1) IN ('(', '{', '[') THEN 1 WHEN substr(x, k, 1) IN (')', '}', ']') THEN -1 ELSE 0 END) OVER (PARTITION BY id ORDER BY k) AS depth FROM c),
+    g AS (SELECT id, coalesce(min(k) FILTER (c = ':' AND depth = 0), max(k) + 1) AS goal, coalesce(min(k) FILTER (c IN ('(', '{', '[', ':')), max(k) + 1) AS name FROM d GROUP BY id),
+    b AS (SELECT d.id, k, c, sum((depth = 1 AND c IN ('(', '{', '['))::INT) OVER (PARTITION BY d.id ORDER BY k) AS n, depth > 0 OR c IN (')', '}', ']') AS inside FROM d JOIN g USING (id) WHERE k >= name AND k < goal),
+    s AS (SELECT id, n, string_agg(c, '' ORDER BY k) AS x FROM b WHERE inside GROUP BY ALL),
+    l AS (SELECT id, list_sort(list({bare:x})) AS binders FROM s GROUP BY id),
+    q AS (SELECT 'statements' AS tbl, id, concat_ws('|', {bare:substr(x, 1, name - 1)}, array_to_string(binders, ','), {bare:substr(x, goal)}) AS key FROM t JOIN g USING (id) LEFT JOIN l USING (id)),
+    r AS (SELECT tbl, id, min(id) OVER (PARTITION BY tbl, key) AS rep FROM (SELECT * FROM p WHERE key <> '' UNION ALL SELECT * FROM q))"""
+
+
+def filled(sql: str) -> str:
+    """SQL with {bare:x} as the letters and digits of x in lower case."""
+    import re
+
+    return re.sub(r"\{bare:((?:[^{}])*)\}", lambda m: f"regexp_replace(lower({m[1]}), '[^\\p{{L}}\\p{{N}}]', '', 'g')", sql)
+
+
+SQL = {
+    "p6_found": filled(COPIES) + " SELECT tbl, rep AS id_a, id AS id_b FROM r WHERE id <> rep",
+    "p6_copies": filled(COPIES) + " SELECT tbl, rep AS id, count(*) AS copies FROM r GROUP BY tbl, rep",
+}
