@@ -1,10 +1,10 @@
 """Problem 8: passages of held-out items in the documents of a training corpus.
 
-The word n-grams of the items go into a bitmap of fixed size, which is broadcast; one pass over the corpus keeps the documents'
-n-grams that hit it. These are counted over the whole corpus, and of each window of an item (as many words as a leak must have)
-the rarest n-gram is its seed: whoever holds the window holds the seed. The seeds are joined to the corpus hits; each hit says where
-in the document the item would lie, and that passage is aligned with the item by Smith and Waterman's algorithm, many passages
-at once, which gives the longest run of equal words.
+The word n-grams of the items go into a bitmap of bounded size, which is broadcast; one pass over the corpus counts the documents'
+n-grams that hit it. Of each window of an item (as many words as a leak must have) the rarest n-gram is its seed: whoever holds the
+window holds the seed. The seeds alone go into a second bitmap, with which a second pass cuts the passages around them out of the
+documents; whole texts are never shuffled. The passages are joined to the items by their seed, and aligned with the item's words
+around it by Smith and Waterman's algorithm, many at once, which gives the longest run of equal words.
 
 Copies that are edited everywhere need not share an n-gram. They are found by words alone: an alignment with half of an item's best
 score has at least half of the item's words, within twice as many words of the document. Documents that pass both counts are
@@ -20,17 +20,17 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lemmalake.llm.similar import mix, slices, word_hashes, words
+from lemmalake.llm.similar import bitmap, bits_for, in_bitmap, mix, slices, word_hashes, words
 from lemmalake.sources.tables import table
 from lemmalake.storage import materialize
 
-GRAM, BITMAP_BITS = 4, 1 << 22
+GRAM = 4
 #: Words of items that one scan of the corpus for edited copies looks for, about.
 BLOCK_WORDS = 1_000_000
 #: Scores of a pair of equal words, of unequal ones, and of a word left out.
 EQUAL, UNEQUAL, GAP = 2, -1, -1
-#: Words around the place of an item in a document that are aligned with it too, and the places that make one passage.
-MARGIN, STEP = 8, 16
+#: Words beyond a run on either side of a seed that are aligned too.
+MARGIN = 8
 
 
 def grams(hashes: np.ndarray, sizes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -47,7 +47,8 @@ def grams(hashes: np.ndarray, sizes: np.ndarray, n: int) -> tuple[np.ndarray, np
 
 
 def item_seeds(items: DataFrame, run: int) -> DataFrame:
-    """(gram, item, place, window): for every window of the items its n-grams. Items with fewer than `run` words have one window."""
+    """(gram, n, item, place, window): for every window of the items its n-grams. Items with fewer than `run` words have one window; n is
+    GRAM, or the number of words of an item that has fewer."""
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in (s for batch in batches for s in slices(batch, "line")):
@@ -61,35 +62,57 @@ def item_seeds(items: DataFrame, run: int) -> DataFrame:
                 first, last = np.maximum(0, place - (run - n)), np.minimum(place, np.maximum(0, sizes[row] - run))
                 many = last - first + 1
                 window = np.repeat(first, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-                yield pd.DataFrame({"gram": np.repeat(gram.view(np.int64), many), "item": np.repeat(ids[row], many), "place": np.repeat(place, many).astype(np.int32), "window": window.astype(np.int32)})
+                yield pd.DataFrame({"gram": np.repeat(gram.view(np.int64), many), "n": n, "item": np.repeat(ids[row], many), "place": np.repeat(place, many).astype(np.int32), "window": window.astype(np.int32)})
 
-    return items.select("id", "line").mapInPandas(make, "gram long, item long, place int, window int")
+    return items.select("id", "line").mapInPandas(make, "gram long, n int, item long, place int, window int")
 
 
-def bitmap(seeds: DataFrame) -> np.ndarray:
-    """BITMAP_BITS bits: which hashes n-grams of items have."""
-    out = np.zeros(BITMAP_BITS, dtype=bool)
-    for r in seeds.select(F.pmod("gram", F.lit(BITMAP_BITS)).cast("int").alias("k")).distinct().toLocalIterator():  # at most BITMAP_BITS
-        out[r.k] = True
-    return np.packbits(out)
+def gram_bitmap(seeds: DataFrame) -> tuple[np.ndarray, list[int]]:
+    """A bitmap of the n-grams of rows (gram, n), and which n there are."""
+    grams_ = seeds.select("gram").distinct()
+    return bitmap(grams_, "gram", bits_for(grams_.count())), sorted(r.n for r in seeds.select("n").distinct().collect())  # n is at most GRAM
 
 
-def corpus_hits(docs: DataFrame, bits: np.ndarray) -> DataFrame:
-    """(gram, doc, at): the documents' n-grams that hit the bitmap."""
-    sent = docs.sparkSession.sparkContext.broadcast(bits)  # BITMAP_BITS / 8 bytes
+def hits(line: pd.Series, packed: np.ndarray, ns: list[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each n the n-grams of lines that hit a bitmap: n, their hashes, rows and places."""
+    hashes, sizes = word_hashes(line)
+    for n in ns:
+        gram, row, place = grams(hashes, sizes, n)
+        hit = in_bitmap(packed, gram)
+        yield n, gram[hit].view(np.int64), row[hit], place[hit]
+
+
+def gram_counts(docs: DataFrame, packed: np.ndarray, ns: list[int]) -> DataFrame:
+    """(gram, often) of the documents' n-grams that hit the bitmap."""
+    sent = docs.sparkSession.sparkContext.broadcast(packed)  # at most 16 MB
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        is_set = np.unpackbits(sent.value).astype(bool)
         for b in (s for batch in batches for s in slices(batch, "line")):
-            hashes, sizes = word_hashes(b.line)
-            ids = b.id.to_numpy()
-            for n in range(1, GRAM + 1):
-                gram, row, place = grams(hashes, sizes, n)
-                gram = gram.view(np.int64)
-                hit = is_set[gram % BITMAP_BITS]
-                yield pd.DataFrame({"gram": gram[hit], "doc": ids[row[hit]], "at": place[hit].astype(np.int32)})
+            for _, gram, _, _ in hits(b.line, sent.value, ns):
+                gram, many = np.unique(gram, return_counts=True)
+                yield pd.DataFrame({"gram": gram, "many": many})
 
-    return docs.select("id", "line").mapInPandas(scan, "gram long, doc long, at int")
+    return docs.select("line").mapInPandas(scan, "gram long, many long").groupBy("gram").agg(F.sum("many").alias("often"))
+
+
+def passages(docs: DataFrame, packed: np.ndarray, ns: list[int], around: int) -> DataFrame:
+    """(gram, doc, at, passage): the documents' n-grams that hit the bitmap, with `around` words on either side. An n-gram of less than
+    GRAM words is an item as a whole, so that one hit a document is enough."""
+    sent = docs.sparkSession.sparkContext.broadcast(packed)  # at most 16 MB
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in (s for batch in batches for s in slices(batch, "line")):
+            ids, cut = b.id.to_numpy(), {}
+            for n, gram, row, place in hits(b.line, sent.value, ns):
+                out = pd.DataFrame({"gram": gram, "row": row, "place": place})
+                if n < GRAM:
+                    out = out.drop_duplicates(["gram", "row"])
+                for r in out.row.unique():
+                    cut.setdefault(r, b.line.iat[r].split(" "))
+                texts = [" ".join(cut[r][max(0, p - around) : p + n + around]) for r, p in zip(out.row, out.place, strict=True)]
+                yield pd.DataFrame({"gram": out.gram, "doc": ids[out.row], "at": out.place, "passage": np.array(texts, dtype=object)})
+
+    return docs.select("id", "line").mapInPandas(scan, "gram long, doc long, at long, passage string")
 
 
 def align(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -111,27 +134,27 @@ def align(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return best, longest
 
 
-def aligned(passages: DataFrame) -> DataFrame:
-    """(doc, item, score, longest, item_words) of passages (doc, item, words of the passage, words of the item)."""
+def aligned(pairs: DataFrame) -> DataFrame:
+    """(doc, item, score, longest, item_words) of (doc, item, passage, own, item_words): words of the document and of the item."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for k in range(0, len(batch), 256):
-                b = batch.iloc[k : k + 256]
-                sides = [c.str.split(" ").tolist() for c in (b.passage, b.line)]
+            for k in range(0, len(batch), 1024):
+                b = batch.iloc[k : k + 1024]
+                sides = [c.str.split(" ").tolist() for c in (b.passage, b.own)]
                 sizes = [[len(x) for x in side] for side in sides]
                 number = pd.factorize(np.array([w for side in sides for x in side for w in x], dtype=object))[0]
                 padded, at = [], 0
                 for side, pad in zip(sizes, (-1, -2), strict=True):
-                    out = np.full((len(b), max(side)), pad, dtype=np.int64)
+                    out = np.full((len(b), max(side)), pad, dtype=np.int32)
                     for r, n in enumerate(side):
                         out[r, :n] = number[at : at + n]
                         at += n
                     padded.append(out)
                 score, longest = align(*padded)
-                yield pd.DataFrame({"doc": b.doc.to_numpy(), "item": b["item"].to_numpy(), "score": score, "longest": longest, "item_words": sizes[1]})
+                yield pd.DataFrame({"doc": b.doc.to_numpy(), "item": b["item"].to_numpy(), "score": score, "longest": longest, "item_words": b.item_words.to_numpy()})
 
-    return passages.select("doc", "item", "passage", "line").mapInPandas(run, "doc long, item long, score int, longest int, item_words int")
+    return pairs.select("doc", "item", "passage", "own", "item_words").mapInPandas(run, "doc long, item long, score int, longest int, item_words int")
 
 
 def lines(rows: DataFrame) -> DataFrame:
@@ -229,29 +252,27 @@ def edited_block(docs: DataFrame, sent) -> DataFrame:  # noqa: ANN001
 
 def leaks(docs: DataFrame, items: DataFrame, run: int = 12) -> DataFrame:
     """(doc, item, score, longest, item_words): of each document and item that share a seed, the best alignment score and the longest
-    run of equal words. Every pair that shares `run` words in a row (all words, for an item with fewer) is among them; edited copies
-    are only if they share a seed, so see edited() for these.
+    run of equal words within `run` + MARGIN words on either side of a seed. Every pair that shares `run` words in a row (all words, for
+    an item with fewer) is among them, with a longest run of so many at least; edited copies are only if they share a seed, so see
+    edited() for these.
 
     docs and items are rows (id, text) with unique ids. Null ids, null texts and texts without words have no pairs; either side may be empty.
     """
-
-    docs, items = lines(docs), lines(items)
-    seeds = materialize(item_seeds(items, run), "item-grams")
-    hits = materialize(corpus_hits(docs, bitmap(seeds)), "corpus-grams")
-    often = hits.groupBy("gram").agg(F.count("*").alias("often"))
-    rarest = F.min(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "gram", "place"))
-    chosen = seeds.join(often, "gram", "left").groupBy("item", "window").agg(rarest.alias("s"))
-    chosen = chosen.where("s.often > 0").select("item", F.col("s.gram").alias("gram"), F.col("s.place").alias("place")).distinct()
-    begin = F.col("at") - F.col("place")
-    found = hits.join(chosen, "gram").select("doc", "item", F.floor(begin / STEP).cast("int").alias("cell")).distinct()
-    found = found.join(items.select(F.col("id").alias("item"), "line"), "item")
-    with_doc = found.join(docs.select(F.col("id").alias("doc"), F.col("line").alias("words")), "doc")
-    first = F.greatest(F.col("cell") * STEP - MARGIN, F.lit(0))
-    size = F.size(F.split("line", " "))
-    passage = F.slice(F.split("words", " "), first + 1, F.greatest((F.col("cell") + 1) * STEP + size + MARGIN - first, F.lit(1)))
-    passages = with_doc.select("doc", "item", "line", F.array_join(passage, " ").alias("passage")).where("passage <> ''")
-    out = aligned(passages)
-    return out.groupBy("doc", "item").agg(F.max("score").alias("score"), F.max("longest").alias("longest"), F.max("item_words").alias("item_words"))
+    docs, items = lines(docs), materialize(lines(items), "items", compression="zstd")
+    seeds = materialize(item_seeds(items, run), "item-grams", compression="zstd")
+    often = gram_counts(docs, *gram_bitmap(seeds))
+    rarest = F.min(F.struct("often", "gram", "n", "place")).alias("s")
+    # a window of which an n-gram stands nowhere stands nowhere
+    chosen = seeds.join(often, "gram", "left").groupBy("item", "window").agg(rarest, F.bool_or(F.col("often").isNull()).alias("absent"))
+    chosen = chosen.where("NOT absent").select("item", "s.gram", "s.n", "s.place").distinct()
+    around, w = run + MARGIN, F.split("line", " ")
+    own = F.slice(w, F.greatest(F.col("place") - around, F.lit(0)) + 1, F.col("n") + F.least("place", F.lit(around)) + around)
+    chosen = chosen.join(items.select(F.col("id").alias("item"), "line"), "item")
+    chosen = materialize(chosen.select("gram", "n", "item", "place", F.array_join(own, " ").alias("own"), F.size(w).alias("item_words")), "seeds", compression="zstd")
+    found = passages(docs, *gram_bitmap(chosen), around).join(chosen.drop("n"), "gram")
+    # seeds on one diagonal, less than `run` words apart, have the same windows in their passages: one of them is enough
+    one = found.groupBy("doc", "item", (F.col("at") - F.col("place")).alias("diagonal"), F.floor(F.col("place") / run).alias("part")).agg(F.first(F.struct("passage", "own", "item_words")).alias("p"))
+    return aligned(one.select("doc", "item", "p.*")).groupBy("doc", "item").agg(F.max("score").alias("score"), F.max("longest").alias("longest"), F.max("item_words").alias("item_words"))
 
 
 RUN = 12

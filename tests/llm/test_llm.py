@@ -2,7 +2,10 @@
 
 import base64
 import collections
+import os
 import random
+import subprocess
+import sys
 
 import duckdb
 import numpy as np
@@ -101,24 +104,26 @@ def test_top_n(make):
     rng = random.Random(2)
     data = [(rng.choice(["hot", "hot", "b", "c", None, f"g{rng.randint(0, 30)}"]), rng.choice([None, float("nan"), 0.0, -0.0, 1.0, float("inf"), rng.random()]), k // 2 if rng.random() < 0.3 else k, "x") for k in range(900)]
     df = make(data + data[:40], "g string, s double, i long, path string")
-    waves = []
-    got = {(r.g, r.i) for r in top_per_group.top_n(df, "g", "s", "i", 3, 50, waves).collect()}
-    want = set()
-    by = collections.defaultdict(set)
-    for g, s, i, _ in data:
-        if g is not None and s is not None and s == s:
-            by[g].add((-s, i))
-    for g, x in by.items():
-        want |= {(g, i) for _, i in sorted(x)[:3]}
-    assert got == want
-    assert waves[0].count() + waves[1].count() <= waves[2].count()
+    for block_rows in (50, 7):
+        got = {(r.g, r.i) for r in top_per_group.top_n(df, "g", "s", "i", 3, block_rows).collect()}
+        want = set()
+        by = collections.defaultdict(set)
+        for g, s, i, _ in data:
+            if g is not None and s is not None and s == s:
+                by[g].add((-s, i))
+        for g, x in by.items():
+            want |= {(g, i) for _, i in sorted(x)[:3]}
+        assert got == want
 
 
 def test_top_n_skips_and_empty(make):
-    df = make([("hot", float(k), k) for k in range(5000)], "g string, s double, i long")
-    waves = []
-    assert top_per_group.top_n(df, "g", "s", "i", 4, 100, waves).count() == 4
-    assert waves[0].count() + waves[1].count() < waves[2].count()
+    df = make([("hot", float(k % 500), k) for k in range(5000)] + [(f"g{k // 5}", 1.0, k) for k in range(500)] + [("z" * 5000, 2.0, 1)], "g string, s double, i long")
+    told = {}
+    got = top_per_group.top_n(df, "g", "s", "i", 4, 100, told)
+    assert sorted(r.i for r in got.where("g = 'hot'").collect()) == [499, 999, 1499, 1999]
+    assert got.count() == 4 + 400 + 1
+    read = {r.g: r.n_read for r in told["read"].collect()}
+    assert read["hot"] <= 400 and read["g3"] == 5 and len(read) == 102
     assert top_per_group.top_n(df.where("false"), "g", "s", "i", 4).count() == 0
 
 
@@ -155,6 +160,12 @@ def test_truncated_copies(make):
     assert got == set(range(1000, 1050))
 
 
+def test_truncated_long_tokens(make):
+    data = [("t", k, f"We use the bound of {k} and then conclude.") for k in range(300)] + [("t", 400 + k, "we use " + "ab" * (500_000 + k)) for k in range(3)]
+    data += [("t", 500, "x" + ".a" * 200_000 + " and then conclude."), ("t", 501, "We use the bou")]
+    assert {r.id for r in truncated.truncated(make(data, "tbl string, id long, text string")).collect()} >= {501}
+
+
 # problems 4 and 5
 
 
@@ -214,6 +225,52 @@ def test_cross_split_without_long_runs(make):
     assert {(0, 0), (1, 1), (2, 1), (3, 2), (5, 3)} == got
 
 
+def test_cross_split_many_short_and_shuffled(make):
+    """At the default options: exact copies of short texts, and texts with the same words in another order."""
+    rng = random.Random(7)
+    held = [f"theorem t{k} : a + b = {k} := by" for k in range(200)] + [" ".join(f"w{rng.randint(0, 300)}" for _ in range(30)) for _ in range(200)]
+    train = [t if k < 200 else " ".join(rng.sample(t.split(), 30)) for k, t in enumerate(held)]
+    got = {(r.id_x, r.id_y) for r in cross_split.cross_split_pairs(make(list(enumerate(held)), "id long, text string"), make(list(enumerate(train)), "id long, text string")).collect()}
+    assert {(k, k) for k in range(400)} <= got
+    assert all(alike(train[k], held[j]) for k, j in got)
+
+
+@pytest.mark.parametrize("shard_words", [10**6, 2_000, 200])
+def test_overlaps_with_any_shards(make, shard_words):
+    """Every pair with a run of shared words that carries the bits comes out of the index, however many shards there are."""
+    texts = family(21, 300)
+    (e, of_e), (t, of_t) = (similar.classes(make(list(enumerate(x)), "id long, text string"), True) for x in (texts[:100], texts[100:] + ["unrelated words only here", "zzz"]))
+    x_rep, y_rep = ({r.id: r.rep for r in m.collect()} for m in (of_t, of_e))
+    got = {(r.x, r.y) for r in cross_split.overlaps(e, t, 20.0, shard_words).collect()}
+    counts = similar.histogram(e)
+    import pandas as pd
+
+    weight = lambda w: float(cross_split.weights_of(counts)[int(similar.word_hashes(pd.Series([w]))[0][0] % np.uint64(similar.BUCKETS))])
+    bits = {w: weight(w) for x in texts for w in words(x)}
+
+    def best(a, b):
+        here, top = {}, 0.0
+        for x in a:
+            here = {k: here.get(k - 1, 0.0) + bits[x] for k, y in enumerate(b) if x == y}
+            top = max([top, *here.values()])
+        return top
+
+    want = {(i, j) for i, x in enumerate(texts[100:]) for j, y in enumerate(texts[:100]) if x_rep[i] == i and y_rep[j] == j and alike(x, y) and best(words(x), words(y)) >= 20.0}
+    assert len(want) > 50 and want <= got
+
+
+def test_wavelet():
+    rng = np.random.default_rng(3)
+    for n in (1, 63, 64, 65, 1000):
+        s = rng.integers(0, 11, n)
+        w = cross_split.Wavelet(cross_split.Wavelet.pack(s, 4), n)
+        assert (w.read(np.arange(n))[0] == s).all()
+        for c in range(11):
+            at = np.arange(n + 1)
+            got = w.follow(np.full(n + 1, c), at) - w.follow(np.array([c]), np.array([0]))
+            assert (got == np.append(0, np.cumsum(s == c))).all()
+
+
 def test_full_text_index():
     import pandas as pd
 
@@ -257,6 +314,12 @@ def test_copies_across_batches(spark, make):
     assert got == {k: first["".join(words(t))] for _, _, k, t in data}
 
 
+def test_copies_of_long_texts(make):
+    data = [("a", "sequence", k, ("ab " if k % 2 else "AB-") * 200_000 + str(k // 2)) for k in range(40)]
+    got = {r.id: r.rep for r in format_copies.classes(make(data, "tbl string, kind string, id long, text string")).collect()}
+    assert got == {k: k - k % 2 for k in range(40)}
+
+
 def test_two_pointers():
     assert format_copies.runs_equal("a-b c", "ABC") and not format_copies.runs_equal("abc", "abcd") and not format_copies.runs_equal("abd", "abc")
     assert format_copies.runs_equal("ÉΣ₁", "é σ₁") and format_copies.runs_equal("--", "")
@@ -307,6 +370,13 @@ def test_leaks(make):
     assert leaks.leaks(d.where("false"), i).count() == leaks.leaks(d, i.where("false")).count() == 0
 
 
+def test_leaks_of_common_and_long_items(make):
+    docs = [(k, "word " * k + "other thing") for k in range(50)] + [(100, "x " * 50_000 + " ".join(f"u{k}" for k in range(30)))]
+    items = [(1, "Word"), (2, "other thing"), (3, " ".join(f"u{k}" for k in range(20_000))), (4, "word word missing")]
+    got = {(r.doc, r.item) for r in leaks.leaks(make(docs, "id long, text string"), make(items, "id long, text string")).where("longest >= least(12, item_words)").collect()}
+    assert got == {(k, 1) for k in range(1, 50)} | {(k, 2) for k in range(50)} | {(100, 3)}
+
+
 def best_score(a, b):
     h = collections.defaultdict(int)
     for x in range(1, len(a) + 1):
@@ -371,6 +441,47 @@ def test_garbled(make):
     assert garbled.garbled(df.where("false")).count() == 0
 
 
+GERMAN = "Während der Übersetzung fiel die Größe zurück außer für kürzere Wege über Körper dafür müssen wir prüfen ob die Lösung möglich wäre natürlich gehört dazu schließlich auch führt größer hätte später wählen Fläche gemäß weiß große süß Straße Fuß heißt müde Tür Höhe größte fällt Länge Übung Überlegung Überblick".split()
+POLISH = "zażółć gęślą jaźń język polski twierdzenie jest prawdziwe ponieważ każdy element należy do zbioru którego suma wynosi więcej niż połowa długości ciągu oraz można łatwo sprawdzić że dowód kończy się sprzecznością żaden inny przypadek zachodzi świat źródło częściowo równość ćwiczenie wartość pomiędzy również".split()
+
+
+def wrongly(text, page="cp1252"):
+    back = {b: c for c, b in garbled.byte_of(page).items()}
+    return "".join(back[bytes([b])] for b in text.encode())
+
+
+def test_garbled_unlisted_page(make):
+    rng = random.Random(1)
+    assert not {"cp1253", "cp1257"} & {p for c in garbled.CIPHERS for p in c[:2]}
+    data = [(k, rng.choice(["a", "b"]), " ".join(rng.sample(GERMAN, 14))) for k in range(400)]
+    raw = {1000 + k: " ".join(rng.sample(GERMAN, 14)) + f" {k}" for k in range(60)}
+    df = make(data + [(k, "greek", t.encode("cp1252").decode("cp1253")) for k, t in raw.items()], "id long, source string, text string")
+    back = {r.id: r.text for r in garbled.restored(df).collect()}
+    assert {r.id for r in garbled.garbled(df).collect()} == set(raw)
+    assert sum(back.get(k) == t for k, t in raw.items()) >= 0.9 * len(raw)
+
+
+def test_garbled_long_words_and_small_languages(make):
+    rng = random.Random(2)
+    chinese = "证明这个定理需要使用数学归纳法首先考虑基础情形然后假设对于所有较小的自然数结论成立最后推出所求的等式因此命题得证我们还可以看到不等式在端点处取得等号"
+    data = [(k, rng.choice(["a", "b"]), " ".join(rng.sample(GERMAN, 14)) + rng.choice(["", " l’été déjà", " x ≤ y"])) for k in range(400)]
+    data += [(1000 + k, "polish", " ".join(rng.sample(POLISH, 18))) for k in range(60)]
+    joined = {2000 + k: "".join(rng.sample(GERMAN, 20) * 2) for k in range(10)} | {3000 + k: "".join(rng.sample(chinese, 60) * 9) for k in range(10)}
+    data += [(k, "joined", wrongly(t)) for k, t in joined.items()]
+    df = make(data, "id long, source string, text string")
+    got = {r.id for r in garbled.garbled(df).collect()}
+    assert set(joined) <= got and len(got - set(joined)) <= 1
+    back = {r.id: r.text for r in garbled.restored(df).collect()}
+    assert all(back[k] == t for k, t in joined.items())
+
+
+def test_garbled_null_source_is_its_own(make):
+    df = make([(1, None, "für über"), (2, "", "für über"), (3, None, None), (4, None, "")], "id long, source string, text string")
+    odd = garbled.odd_words(df.where("text IS NOT NULL"))
+    assert {(r.id, r.source, r.word, r.n) for r in odd.where("word IS NOT NULL").collect()} == {(1, None, "für", 1), (1, None, "über", 1), (2, "", "für", 1), (2, "", "über", 1)}
+    assert garbled.garbled(df).count() == 0
+
+
 @pytest.mark.parametrize("cipher", garbled.CIPHERS)
 def test_ciphers_round_trip(cipher):
     wrong, right, times = cipher
@@ -392,13 +503,13 @@ def test_ciphers_round_trip(cipher):
 
 def test_sql(spark, folder):
     con = duckdb.connect()
-    for t in ("train_samples", "statements", "conjectures", "documents", "eval_items"):
+    for t in ("train_samples", "statements", "conjectures", "attempts", "documents", "eval_items"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{folder}/{t}.parquet')")
     for name, sql in registry.oracle_sql().items():
         df = registry.queries()[name](spark, folder)
         cur = con.execute(sql)
         at = [[d[0] for d in cur.description].index(c) for c in df.columns]
-        assert sorted(map(tuple, df.collect())) == sorted(tuple(r[k] for k in at) for r in cur.fetchall())
+        assert sorted(map(repr, map(tuple, df.collect()))) == sorted(repr(tuple(r[k] for k in at)) for r in cur.fetchall()), name
 
 
 @pytest.mark.parametrize("name", sorted(registry.queries()))
@@ -407,6 +518,22 @@ def test_runs(spark, folder, name):
     assert df.count() >= 0
 
 
+def test_workers_without_the_package(folder, tmp_path):
+    """Only the driver has the package on its path."""
+    code = f"""
+import sys
+sys.path.insert(0, {os.path.dirname(os.path.dirname(os.path.abspath(garbled.__file__)))!r} + '/..')
+from lemmalake.llm import registry
+from lemmalake.session import local_session
+spark = local_session(4, 4)
+for name, q in registry.queries().items():
+    if name.endswith(('_found', '_pack', '_ids', '_scores', '_restored')):
+        q(spark, {str(folder)!r}).count()
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, check=True, capture_output=True, timeout=900)
+
+
 def test_found_once(spark, folder):
     for name in ("p2_found", "p4_found", "p5_found", "p6_found"):
         df = registry.queries()[name](spark, folder)
