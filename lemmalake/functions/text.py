@@ -53,6 +53,10 @@ def conjecture(c: Column) -> Column:
     return F.when(sound, strip(F.concat(F.substring_index(code, ASSIGN, 1), F.lit(ASSIGN))))
 
 
+#: What a model's configuration can name to take its outputs apart.
+EXTRACTORS = {"lenient": proof_lenient, "strict": proof_strict, "conjecture": conjecture}
+
+
 def without_comments(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(c, r"/-[\s\S]*?-/", ""), r"(?d)--.*", "")
 

@@ -31,6 +31,13 @@ def malformed_conjectures(spark: SparkSession, folder: str) -> DataFrame:
     return c.groupBy("iteration").agg(F.count("*").alias("n"), F.count_if(X.conjecture(F.col("conjecture_full_generation")).isNull()).alias("malformed"))
 
 
+def extracted_by_name(spark: SparkSession, folder: str) -> DataFrame:
+    """What each extractor, by its name, gets out of the generations of attempts: how many, and their characters."""
+    a = attempts(spark, folder, "full_generation")
+    both = a.select(F.inline(F.array(*[F.struct(F.lit(name).alias("extractor"), f(F.col("full_generation")).alias("text")) for name, f in X.EXTRACTORS.items()])))
+    return both.groupBy("extractor").agg(F.count("text").alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars"))
+
+
 def without_comments(spark: SparkSession, folder: str) -> DataFrame:
     """Proofs with comments put in after every tactic, and taken out again."""
     noisy = F.concat(F.lit("/- by\nhand -/"), F.regexp_replace("proof_str", "\n", " -- next\n"))
@@ -144,7 +151,7 @@ def last_output_by_source(spark: SparkSession, folder: str) -> DataFrame:
     return a.withColumn("k", F.row_number().over(w)).where("k = 1").select("source", "attempt_id")
 
 
-QUERIES = {f.__name__: f for f in (proofs_lenient, proofs_strict, conjectures_extracted, malformed_conjectures, without_comments, token_flags, header_split, solver_prompts, files_assembled, proof_bodies, judge_scores, judge_imputed, judge_metrics, duration_parse, cpu_lists, byte_offsets, sample_table, last_output_by_source)}
+QUERIES = {f.__name__: f for f in (proofs_lenient, proofs_strict, conjectures_extracted, malformed_conjectures, extracted_by_name, without_comments, token_flags, header_split, solver_prompts, files_assembled, proof_bodies, judge_scores, judge_imputed, judge_metrics, duration_parse, cpu_lists, byte_offsets, sample_table, last_output_by_source)}
 COUNT = "((length({x}) - length(replace({x}, '{w}', ''))) // {n})"
 count = lambda x, w: COUNT.format(x=x, w=w, n=len(w))
 BARE = r"regexp_replace(regexp_replace(proof_str, '/-[\s\S]*?-/', '', 'g'), '--.*', '', 'g')"
@@ -170,6 +177,12 @@ SQL = {
         q AS (SELECT iteration, CASE WHEN contains(x, '```') THEN substr(x, 1, length(x) - length(split_part(x, '```', -1)) - 3) END AS x FROM p), z AS (SELECT *, {strip("x")} AS y FROM q)
         SELECT iteration, count(*) AS n, count(*) FILTER (NOT coalesce({count("x", ":= by")} = 1 AND {count("x", "sorry")} <= 1 AND (ends_with(y, 'sorry') OR ends_with(y, ':= by')), false)) AS malformed
         FROM z GROUP BY iteration""",
+    "extracted_by_name": f"""WITH {A}, g AS (SELECT attempt_id, full_generation AS g, {strip("full_generation")} AS s FROM a), {LENIENT},
+        z AS (SELECT CASE WHEN contains(code, '```') THEN substr(code, 1, length(code) - length(split_part(code, '```', -1)) - 3) END AS x FROM p), y AS (SELECT x, {strip("x")} AS y FROM z),
+        t AS (SELECT 'lenient' AS extractor, proof AS text FROM l
+            UNION ALL SELECT 'strict', CASE WHEN starts_with(s, '```lean4') AND ends_with(s, '```') AND {count("s", "```lean4")} = 1 AND {count("s", "```")} = 2 AND {count("s", "theorem ")} + {count("s", "lemma ")} + {count("s", "def ")} = 1 THEN proof END FROM l
+            UNION ALL SELECT 'conjecture', CASE WHEN {count("x", ":= by")} = 1 AND {count("x", "sorry")} <= 1 AND (ends_with(y, 'sorry') OR ends_with(y, ':= by')) THEN {strip("split_part(x, ':= by', 1) || ':= by'")} END FROM y)
+        SELECT extractor, count(text) AS n, coalesce(sum(length(text)), 0)::BIGINT AS chars FROM t GROUP BY 1""",
     "without_comments": f"WITH {A} SELECT attempt_id, md5(replace(proof_str, chr(10), ' ' || chr(10))) AS proof_md5 FROM a",
     "token_flags": f"""WITH {A} SELECT count(*) FILTER (contains({BARE}, 'try')) AS with_try, count(*) FILTER ({count("full_generation", "```lean4")} > 1) AS two_fences,
         count(*) FILTER (length({BARE}) > 1000) AS long, count(*) FILTER (ok) AS correct, count(*) AS n FROM a""",

@@ -76,17 +76,17 @@ def cycle_repeat(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def few_shot_pick(spark: SparkSession, folder: str) -> DataFrame:
-    """3 examples for each test statement, never itself: of the solved statements, those that follow it in a shuffled order, from
-    the first again after the last.
+    """3 examples for each test statement, or all of a smaller pool, never itself: of the solved statements, those that follow it in a
+    shuffled order, from the first again after the last.
 
     Every statement of the order finds its next ones through its place, so nothing is joined with everything."""
     s = statements(spark, folder, "split", "theorem").where("theorem IS NOT NULL")
     solved = attempts(spark, folder).where("ok").select(F.col("statement_id").alias("id")).distinct()
     pool = shards(s.join(solved, "id", "left_semi").withColumn("h", hash_order(F.col("id"), 11)).select("h", F.col("id").alias("example")), 1, "h", "example")
     size = pool.agg(F.count("*").alias("m"))
-    asked = s.where(F.lower(F.trim("split")) == "test").select("id").crossJoin(F.broadcast(size)).where("m > 3")  # one row
+    asked = s.where(F.lower(F.trim("split")) == "test").select("id").crossJoin(F.broadcast(size)).where("m > 0")  # one row
     start = F.pmod(F.conv(F.substring(hash_order(F.col("id"), 13), 1, 8), 16, 10).cast("long"), F.col("m"))
-    wanted = asked.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(3)))).withColumn("ordinal", (start + F.col("k")) % F.col("m"))
+    wanted = asked.withColumn("k", F.explode(F.sequence(F.lit(0), F.least(F.lit(3), F.col("m") - 1)))).withColumn("ordinal", (start + F.col("k")) % F.col("m"))
     found = wanted.join(pool.select("ordinal", "example"), "ordinal").where("id <> example")
     rank = F.row_number().over(Window.partitionBy("id").orderBy("k"))
     return found.withColumn("rank", rank).where("rank <= 3").select("id", "rank", "example")
@@ -139,7 +139,7 @@ SQL = {
     "few_shot_pick": f"""WITH {S}, {A}, pool AS (SELECT id AS example, row_number() OVER (ORDER BY md5('11/' || id), id) - 1 AS o FROM s
             WHERE theorem IS NOT NULL AND EXISTS (SELECT 1 FROM a WHERE ok AND statement_id = s.id)),
         m AS (SELECT count(*) AS m FROM pool),
-        w AS (SELECT id, k, (('0x' || substr(md5('13/' || id), 1, 8))::BIGINT % m + k) % m AS o FROM s, m, range(0, 4) AS g(k) WHERE theorem IS NOT NULL AND lower(trim(split)) = 'test' AND m > 3),
+        w AS (SELECT id, k, (('0x' || substr(md5('13/' || id), 1, 8))::BIGINT % m + k) % m AS o FROM s, m, range(0, 4) AS g(k) WHERE theorem IS NOT NULL AND lower(trim(split)) = 'test' AND k < m),
         f AS (SELECT id, example, row_number() OVER (PARTITION BY id ORDER BY k) AS rank FROM w JOIN pool USING (o) WHERE id <> example)
         SELECT id, rank::INT AS rank, example FROM f WHERE rank <= 3""",
     "nest_by_source": f"WITH {S} SELECT source, rec_id, row_number() OVER (PARTITION BY source ORDER BY id, rec_id) - 1 AS place FROM s",

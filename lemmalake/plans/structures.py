@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lemmalake.functions.providers import call
 from lemmalake.plans.base import A, C, S, attempts, conjectures, statements
+from lemmalake.plans.verdicts import REPLY
 from lemmalake.sources.files import STATEMENT, accounting, flat, nested, read, violations
 from lemmalake.sources.tables import records, table
 from lemmalake.storage import new_table
@@ -39,12 +40,19 @@ def accounting_log(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def proof_segments(spark: SparkSession, folder: str) -> DataFrame:
-    """Proofs cut into segments: each begins with a line that is indented by at most two blanks; how many, and the longest in lines."""
-    lines = attempts(spark, folder, "proof_str").select("attempt_id", F.posexplode(F.split("proof_str", "\n")).alias("k", "line")).where("trim(line) <> ''")
+    """Proofs up to their first error (by the verifier's line) or hole, cut into segments: each begins with a line that is indented by at most two
+    blanks; how many, the longest in lines, and the deepest indent."""
+    a = attempts(spark, folder, "proof_str", "verification_dict").where("proof_str IS NOT NULL")
+    first = F.array_min(F.transform(F.filter(F.from_json("verification_dict", REPLY).getField("errors"), lambda e: e.severity == "error"), lambda e: e.line))
+    lines = F.split("proof_str", "\n")
+    hole = F.array_position(F.transform(lines, lambda x: F.contains(x, F.lit("sorry"))), True)
+    end = F.least(F.size(lines), F.when(first.isNotNull(), F.greatest(first - 1, F.lit(0))), F.when(hole > 0, hole - 1)).cast("int")
+    lines = a.select("attempt_id", F.posexplode(F.slice(lines, F.lit(1), end)).alias("k", "line")).where("trim(line) <> ''")
     head = F.when(F.col("line").rlike(r"^ {0,2}[^ ]"), 1).otherwise(0)
     seg = lines.withColumn("seg", F.sum(head).over(Window.partitionBy("attempt_id").orderBy("k")))
-    by = seg.groupBy("attempt_id", "seg").agg(F.count("*").alias("n"))
-    return by.groupBy("attempt_id").agg(F.count("*").alias("segments"), F.max("n").alias("longest"))
+    indent = F.max(F.length("line") - F.length(F.ltrim("line")))
+    by = seg.groupBy("attempt_id", "seg").agg(F.count("*").alias("n"), indent.alias("indent"))
+    return by.groupBy("attempt_id").agg(F.count("*").alias("segments"), F.max("n").alias("longest"), F.max("indent").cast("long").alias("indent"))
 
 
 def proof_tree(spark: SparkSession, folder: str) -> DataFrame:
@@ -133,9 +141,12 @@ SQL = {
         UNION ALL SELECT rec_id, 'no open end' FROM n WHERE NOT regexp_matches(theorem, ':= by[\\s\\x0b\\x{{85}}\\x{{a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}]*$')""",
     "accounting_log": """SELECT 'DONE' AS state, epoch_us(ts) // 1000000 AS start, CASE WHEN event_id % 3 = 0 THEN NULL ELSE epoch_us(ts) // 1000000 END AS stop
         FROM events WHERE user_id % 10 = 3 AND event_id % 7 <> 0 AND event_id % 5 <> 0""",
-    "proof_segments": f"""WITH {A}, l AS (SELECT attempt_id, unnest(string_split(proof_str, chr(10))) AS line, generate_subscripts(string_split(proof_str, chr(10)), 1) AS k FROM a),
-        x AS (SELECT attempt_id, sum(CASE WHEN regexp_matches(line, '^ {{0,2}}[^ ]') THEN 1 ELSE 0 END) OVER (PARTITION BY attempt_id ORDER BY k) AS seg FROM l WHERE trim(line, ' ') <> ''),
-        y AS (SELECT attempt_id, seg, count(*) AS n FROM x GROUP BY ALL) SELECT attempt_id, count(*) AS segments, max(n) AS longest FROM y GROUP BY 1""",
+    "proof_segments": f"""WITH {A}, b AS (SELECT attempt_id, string_split(proof_str, chr(10)) AS l, list_min(list_transform(list_filter(
+            from_json(verification_dict::JSON -> '$.errors', '[{{"severity":"VARCHAR","data":"VARCHAR","line":"INTEGER"}}]'), lambda e: e.severity = 'error'), lambda e: e.line)) AS first FROM a WHERE proof_str IS NOT NULL),
+        c AS (SELECT attempt_id, l, least(len(l), greatest(coalesce(first, 1000000000) - 1, 0), coalesce(list_position(list_transform(l, lambda x: contains(x, 'sorry')), true), 1000000000) - 1) AS n FROM b),
+        l AS (SELECT attempt_id, unnest(l[1:n]) AS line, generate_subscripts(l[1:n], 1) AS k FROM c),
+        x AS (SELECT attempt_id, length(line) - length(ltrim(line, ' ')) AS d, sum(CASE WHEN regexp_matches(line, '^ {{0,2}}[^ ]') THEN 1 ELSE 0 END) OVER (PARTITION BY attempt_id ORDER BY k) AS seg FROM l WHERE trim(line, ' ') <> ''),
+        y AS (SELECT attempt_id, seg, count(*) AS n, max(d) AS d FROM x GROUP BY ALL) SELECT attempt_id, count(*) AS segments, max(n) AS longest, max(d) AS indent FROM y GROUP BY 1""",
     "proof_tree": f"""WITH {A}, l AS (SELECT statement_id, list_filter(string_split(proof_str, chr(10)), lambda x: trim(x, ' ') <> '') AS l FROM a WHERE statement_id IS NOT NULL),
         p AS (SELECT DISTINCT statement_id, k AS depth, array_to_string(l[1:k], chr(10)) AS path FROM l, range(1, (SELECT max(len(l)) FROM l) + 1) AS g(k) WHERE k <= len(l))
         SELECT statement_id, count(*) AS nodes, max(depth)::INT AS depth FROM p GROUP BY 1""",

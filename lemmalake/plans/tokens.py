@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lemmalake.functions import scores as M
@@ -28,6 +28,27 @@ def importance_ratio(spark: SparkSession, folder: str) -> DataFrame:
     return e.select("vec_id", F.round(mean, 5).alias("mean_ratio"), low.alias("at_low"), high.alias("at_high"))
 
 
+def masked_ratios(spark: SparkSession, folder: str) -> DataFrame:
+    """Ratios of token probabilities of neighbouring samples of a group, by token, the later one as the new policy and the one before as the old
+    one: clamped to 0.8..1.2 where both have the token, 1 where one hasn't; their mean, and how many were clamped at either end."""
+    t = samples(spark, folder, "group_id", "log_prob_over_gen").where("group_id <> 'ungrouped' AND size(log_prob_over_gen) > 0")
+    w = Window.partitionBy("group_id").orderBy("sample_id")
+    t = t.select("sample_id", F.col("log_prob_over_gen").alias("new"), F.lag("log_prob_over_gen").over(w).alias("old")).where("old IS NOT NULL")
+    raw = F.zip_with("new", "old", lambda a, b: F.exp(a - b))
+    both = F.filter(raw, lambda r: r.isNotNull())
+    clamped = F.transform(raw, lambda r: F.when(r.isNotNull(), F.greatest(F.lit(0.8), F.least(F.lit(1.2), r))).otherwise(1.0))
+    mean = F.aggregate(clamped, F.lit(0.0), lambda s, v: s + v) / F.size(raw)
+    low, high = (F.size(F.filter(both, f)).cast("long") for f in (lambda v: v < 0.8, lambda v: v > 1.2))
+    return t.select("sample_id", F.round(mean, 5).alias("mean_ratio"), low.alias("at_low"), high.alias("at_high"))
+
+
+def plain_loss(spark: SparkSession, folder: str) -> DataFrame:
+    """By source, without groups: the sum of (log probabilities times the reward) over all tokens, by token; NaN rewards don't count."""
+    t = samples(spark, folder, "source", "log_prob_over_gen", "reward").where("log_prob_over_gen IS NOT NULL AND reward IS NOT NULL AND NOT isnan(reward)")
+    s = t.select("source", (F.aggregate("log_prob_over_gen", F.lit(0.0), lambda a, x: a + x) * F.col("reward")).alias("l"), F.size("log_prob_over_gen").alias("n"))
+    return s.groupBy("source").agg((F.round(-F.sum("l") / F.greatest(F.sum("n"), F.lit(1)), 5) + 0.0).alias("loss"))
+
+
 def token_means(spark: SparkSession, folder: str) -> DataFrame:
     t = samples(spark, folder, "source", "gen_tokens", "prompt_str").where("gen_tokens IS NOT NULL")
     return t.groupBy("source").agg(F.round(F.avg(F.size("gen_tokens")), 6).alias("mean_tokens"), F.sum(F.size("gen_tokens")).alias("tokens"), F.round(F.avg(F.length("prompt_str")), 6).alias("mean_prompt"))
@@ -63,12 +84,17 @@ def end_tokens(spark: SparkSession, folder: str) -> DataFrame:
     return t.groupBy(F.element_at("gen_tokens", -1).alias("token")).agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "token").limit(20)
 
 
-QUERIES = {f.__name__: f for f in (entropy, importance_ratio, token_means, pad_mask, shifted_pairs, weighted_loss, end_tokens)}
+QUERIES = {f.__name__: f for f in (entropy, importance_ratio, masked_ratios, plain_loss, token_means, pad_mask, shifted_pairs, weighted_loss, end_tokens)}
 SQL = {
     "entropy": """WITH x AS (SELECT vec_id, unnest(embedding[1:10])::DOUBLE - 1 AS v FROM embeddings), s AS (SELECT vec_id, exp(v) / sum(exp(v)) OVER (PARTITION BY vec_id) AS p FROM x)
         SELECT vec_id, round(-sum(p * ln(p + 1e-10)), 5) AS entropy FROM s GROUP BY 1""",
     "importance_ratio": """WITH x AS (SELECT vec_id, exp(unnest(embedding[1:32])::DOUBLE - unnest(embedding[33:64])::DOUBLE) AS r FROM embeddings)
         SELECT vec_id, round(avg(greatest(0.8, least(1.2, r))), 5) AS mean_ratio, count(*) FILTER (r < 0.8) AS at_low, count(*) FILTER (r > 1.2) AS at_high FROM x GROUP BY 1""",
+    "masked_ratios": f"""WITH {T}, p AS (SELECT sample_id, log_prob_over_gen AS new, lag(log_prob_over_gen) OVER (PARTITION BY group_id ORDER BY sample_id) AS old FROM t WHERE group_id <> 'ungrouped' AND len(log_prob_over_gen) > 0),
+        x AS (SELECT sample_id, exp(new[k] - old[k]) AS r FROM p, range(1, (SELECT max(len(new)) FROM p) + 1) AS g(k) WHERE old IS NOT NULL AND k <= greatest(len(new), len(old)))
+        SELECT sample_id, round(avg(CASE WHEN r IS NOT NULL THEN greatest(0.8, least(1.2, r)) ELSE 1 END), 5) AS mean_ratio, count(*) FILTER (r < 0.8) AS at_low, count(*) FILTER (r > 1.2) AS at_high FROM x GROUP BY 1""",
+    "plain_loss": f"""WITH {T} SELECT source, round(-sum(coalesce(list_sum(log_prob_over_gen), 0) * reward) / greatest(sum(len(log_prob_over_gen)), 1), 5) + 0.0 AS loss
+        FROM t WHERE log_prob_over_gen IS NOT NULL AND isfinite(reward) GROUP BY 1""",
     "token_means": f"""WITH {T} SELECT source, round(avg(len(gen_tokens)), 6) AS mean_tokens, sum(len(gen_tokens))::BIGINT AS tokens, round(avg(length(prompt_str)), 6) AS mean_prompt
         FROM t WHERE gen_tokens IS NOT NULL GROUP BY 1""",
     "pad_mask": f"""WITH {C}, x AS (SELECT rec_id, conjecture_full_generation_tokens AS g FROM c WHERE conjecture_full_generation_tokens IS NOT NULL)

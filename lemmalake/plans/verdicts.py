@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lemmalake.operators.dedup import first_of
 from lemmalake.operators.intervals import clamp, lanes, peak, repaired
+from lemmalake.operators.order import ordinals
 from lemmalake.plans.base import A, attempts
 from lemmalake.sources.tables import table
 
@@ -160,6 +161,17 @@ def holders(spark: SparkSession, folder: str) -> DataFrame:
     return first.withColumn("place", F.row_number().over(Window.orderBy("n_workers", "task")).cast("long"))  # 10 rows
 
 
+def next_task(spark: SparkSession, folder: str) -> DataFrame:
+    """The task that each worker would be handed once all are: the one with the fewest holders that isn't its own.
+
+    Tasks stand in that order; of a worker whose own ones are the first k, it is the next."""
+    e = events(spark, folder).where("event_type = 'view' AND task IS NOT NULL").select("task", "worker").distinct()
+    placed = ordinals(e.groupBy("task").agg(F.count("*").alias("n")), "n", "task").select("task", "ordinal")
+    own = e.join(placed, "task").withColumn("k", F.row_number().over(Window.partitionBy("worker").orderBy("ordinal")) - 1)
+    skip = own.groupBy("worker").agg(F.count_if(F.col("k") == F.col("ordinal")).alias("ordinal"))
+    return skip.join(placed, "ordinal").select("worker", "task")
+
+
 def chunk_retries(spark: SparkSession, folder: str) -> DataFrame:
     """Attempts in chunks of 8: a chunk with more than 90 % of system errors is tried again; by how many such chunks and rows."""
     r = replies(spark, folder).groupBy(F.floor(F.col("attempt_id") / 8).alias("chunk")).agg(F.count("*").alias("n"), F.count_if(F.col("system_errors").isNotNull()).alias("bad"))
@@ -172,7 +184,7 @@ def tumbling_errors(spark: SparkSession, folder: str) -> DataFrame:
     return e.select(F.unix_micros(F.col("w.start").cast("timestamp")).alias("start_us"), "n", "errors")
 
 
-QUERIES = {f.__name__: f for f in (verdict_normalize, error_stats, error_words, verify_time_histogram, mean_verify_time, util_throughput, lane_peak, lane_assign, lane_counts, system_summary, gauge_deltas, top_processes, last_metric, task_first_result, task_last_report, task_states, holders, chunk_retries, tumbling_errors)}
+QUERIES = {f.__name__: f for f in (verdict_normalize, error_stats, error_words, verify_time_histogram, mean_verify_time, util_throughput, lane_peak, lane_assign, lane_counts, system_summary, gauge_deltas, top_processes, last_metric, task_first_result, task_last_report, task_states, holders, next_task, chunk_retries, tumbling_errors)}
 V = f"""WITH {A}, v AS (SELECT attempt_id, source, ok, (verification_dict::JSON ->> '$.pass')::BOOLEAN AS pass, (verification_dict::JSON ->> '$.complete')::BOOLEAN AS complete,
     (verification_dict::JSON ->> '$.verify_time')::DOUBLE AS verify_time, verification_dict::JSON ->> '$.system_errors' AS system_errors,
     coalesce(json_array_length(verification_dict::JSON, '$.errors'), 0) AS n_errors, verification_dict FROM a WHERE verification_dict IS NOT NULL)"""
@@ -205,6 +217,8 @@ SQL = {
         FROM e WHERE task IS NOT NULL GROUP BY task) SELECT CASE WHEN done THEN 'done' WHEN held THEN 'in_progress' ELSE 'pending' END AS state, count(*) AS n_tasks FROM x GROUP BY 1""",
     "holders": f"""{E_}, n AS (SELECT task, count(DISTINCT worker) AS n_workers FROM e WHERE event_type = 'view' AND task IS NOT NULL GROUP BY 1)
         SELECT task, n_workers, row_number() OVER (ORDER BY n_workers, task) AS place FROM n QUALIFY place <= 10""",
+    "next_task": f"""{E_}, h AS (SELECT DISTINCT task, worker FROM e WHERE event_type = 'view' AND task IS NOT NULL), n AS (SELECT task, count(*) AS n FROM h GROUP BY 1),
+        w AS (SELECT DISTINCT worker FROM h) SELECT worker, arg_min(task, (n, task)) AS task FROM w, n WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.worker = w.worker AND h.task = n.task) GROUP BY worker""",
     "chunk_retries": f"""{V}, x AS (SELECT attempt_id // 8 AS chunk, count(*) AS n, count(*) FILTER (system_errors IS NOT NULL) AS bad FROM v GROUP BY 1)
         SELECT count(*) AS chunks, count(*) FILTER (bad > 0.9 * n) AS again, coalesce(sum(n) FILTER (bad > 0.9 * n), 0)::BIGINT AS rows_again FROM x""",
     "tumbling_errors": "SELECT (epoch_us(ts) // 21600000000) * 21600000000 AS start_us, count(*) AS n, count(*) FILTER (event_type = 'error') AS errors FROM events GROUP BY 1",
