@@ -249,7 +249,7 @@ def odd_words(docs: DataFrame) -> DataFrame:
     (k, c), how often the bigrams and letters of all other words stand."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in (s for batch in batches for s in slices(batch, "text")):
+        for b in (s for batch in batches for s in slices(batch, "text", 1_000_000)):
             whole, codes, inside, starts = with_ascii_blanks(b.text)
             edge = np.diff(inside.astype(np.int8), prepend=0, append=0)
             first, end = np.nonzero(edge == 1)[0], np.nonzero(edge == -1)[0]
@@ -317,9 +317,11 @@ def own_tables(types: DataFrame, model: Model) -> DataFrame:
             left, right = ([told.get(c, "") if c in odd else c for c in rows[side]] for side in ("left", "right"))
             a, b = np.array([c != "" for c in left]), np.array([c != "" for c in right])
             l, r = code(c or " " for c in left), code(c or " " for c in right)
-            fit = np.where(a[:, None], m.chance(l[:, None], letters[None, :]), 1.0) * np.where(b[:, None], m.chance(letters[None, :], r[:, None]), 1.0)
             fits = np.zeros((len(symbols), len(letters)))
-            np.add.at(fits, number, rows.n.to_numpy()[:, None] * np.log(fit))
+            for at in range(0, len(rows), 10_000):
+                x = slice(at, at + 10_000)
+                fit = np.where(a[x, None], np.log(m.chance(l[x, None], letters[None, :])), 0.0) + np.where(b[x, None], np.log(m.chance(letters[None, :], r[x, None])), 0.0)
+                np.add.at(fits, number[x], rows.n.to_numpy()[x, None] * fit)
             share = np.exp(fits - fits.max(axis=1, keepdims=True))
             share /= share.sum(axis=1, keepdims=True)
             best = share.argmax(axis=1)
