@@ -29,6 +29,22 @@ def running_total(df: DataFrame, amount: str, *keys: str, name: str = "up_to") -
     return parts.withColumn(name, inside).join(F.broadcast(before), "_part").withColumn(name, F.col(name) + F.col("_before")).drop("_part", "_before")
 
 
+def previous(df: DataFrame, group: str, keys: list[str], columns: list[str], name: str = "before") -> DataFrame:
+    """Adds a struct of the columns of the row before within the group, in the order of the keys; null for the first one.
+
+    The rows are laid out as ordinals() does, so that a group of any size is spread over tasks; a task's first row finds the last one of the task
+    before it. The keys must identify a row of the group.
+    """
+    parts = materialize(df.repartitionByRange(group, *keys).withColumn("_part", F.spark_partition_id()), "ordered")
+    row = F.struct(*columns)
+    lasts = parts.groupBy("_part").agg(F.max_by(F.struct(F.col(group).alias("g"), row.alias("r")), F.struct(group, *keys)).alias("_last"))
+    lasts = lasts.select("_part", F.lag("_last").over(Window.orderBy("_part")).alias("_last"))  # a row a partition
+    inside = F.lag(row).over(Window.partitionBy("_part", group).orderBy(*keys))
+    both = parts.withColumn("_inside", inside).join(F.broadcast(lasts), "_part")
+    over = F.when(F.col("_last.g").eqNullSafe(F.col(group)) & F.col("_last").isNotNull(), F.col("_last.r"))
+    return both.withColumn(name, F.coalesce("_inside", over)).drop("_part", "_inside", "_last")
+
+
 def chunks(df: DataFrame, n: int, *keys: str) -> DataFrame:
     """Adds `chunk`: exactly n contiguous chunks, the first of which are one row larger where n doesn't divide the rows. As ntile(n) - 1."""
     placed = ordinals(df, *keys)

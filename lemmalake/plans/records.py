@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from lemmalake.functions import text as X
 from lemmalake.operators.dedup import first_of
-from lemmalake.operators.order import hash_order
+from lemmalake.operators.order import hash_order, ordinals
 from lemmalake.plans.base import ASKED, A, C, S, T, attempts, conjectures, samples, statements
+from lemmalake.plans.reshape import SQL as RESHAPE
+from lemmalake.plans.reshape import few_shot_pick
 from lemmalake.plans.verdicts import REPLY, TIMEOUT, V, events, replies
 from lemmalake.sources.tables import table
 from lemmalake.storage import new_table
@@ -214,7 +216,7 @@ def split_back(spark: SparkSession, folder: str) -> DataFrame:
 def first_appearance(spark: SparkSession, folder: str) -> DataFrame:
     """Each worker's number by the time of its first event, the first one 0."""
     first = events(spark, folder).groupBy("worker").agg(F.min("us").alias("us"))
-    return first.select("worker", (F.dense_rank().over(Window.orderBy("us", "worker")) - 1).cast("long").alias("node"))  # a row a worker
+    return ordinals(first, "us", "worker", name="node").select("worker", "node")
 
 
 def chunk_plan(spark: SparkSession, folder: str) -> DataFrame:
@@ -226,9 +228,10 @@ def chunk_plan(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def index_hashes(spark: SparkSession, folder: str) -> DataFrame:
-    """A hash of each group's sample numbers in order, kept beside the training run, and one of its id as a number below 2^63."""
-    t = samples(spark, folder, "group_id").where("group_id <> 'ungrouped'")
-    ids = t.groupBy("group_id").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("sample_id")), ","), 256).alias("ids_hash"))  # groups of a few samples each
+    """A hash of the set of each group's sample numbers, kept beside the training run, and one of its id as a number below 2^60."""
+    t = samples(spark, folder, "group_id").where("group_id IS NOT NULL")
+    one = F.conv(F.substring(F.md5(F.col("sample_id").cast("string")), 1, 8), 16, 10).cast("long")
+    ids = t.groupBy("group_id").agg(F.sum(one).alias("ids_hash"))
     high = F.conv(F.substring(F.sha1("group_id"), 1, 15), 16, 10).cast("long")
     return ids.select("group_id", "ids_hash", high.alias("number"))
 
@@ -256,8 +259,6 @@ def conjectures_as_statements(spark: SparkSession, folder: str) -> DataFrame:
 
 def few_shot_headers(spark: SparkSession, folder: str) -> DataFrame:
     """The header of each test statement's prompt: its 3 examples, or all of a smaller pool, set apart by blank lines."""
-    from lemmalake.plans.reshape import few_shot_pick
-
     s = statements(spark, folder, "theorem").select(F.col("id").alias("example"), "theorem")
     picked = few_shot_pick(spark, folder).join(s, "example")
     shots = picked.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("rank", "theorem"))).alias("x"))  # three a statement
@@ -327,6 +328,7 @@ def retried_chunks(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (iteration_records, next_iteration, metrics_table, merged_metrics, time_histogram, mean_chars, token_entropy, mean_entropy, compiler_verdicts, system_error_texts, split_write, prefix_rates, ordered_results, reports_of_jobs, per_source, two_hops, queue_is_done, before_fence, memory_shares, split_back, first_appearance, chunk_plan, index_hashes, review_cost, prompts_with_extras, conjectures_as_statements, few_shot_headers, reply_keys, two_phases, code_variants, report_rates, group_checks, grouped_loss, retried_chunks)}
 E_ = "WITH e AS (SELECT event_id, user_id AS worker, (props::JSON ->> '$.k')::BIGINT AS task, epoch_us(ts) AS us, event_type FROM events)"
+FEW_SHOT = RESHAPE["few_shot_pick"]
 BY = f"""WITH {S}, {A}, {C}, i AS (SELECT iteration_created AS iteration, count(*) AS n_attempts, count(*) FILTER (ok) AS n_correct, count(DISTINCT statement_id) AS n_statements,
     sum(coalesce(len(full_generation_tokens), 0))::BIGINT AS n_tokens FROM a WHERE iteration_created IS NOT NULL GROUP BY 1)"""
 ENTROPY = """p AS (SELECT attempt_id, source, (k - 1) // 10 AS tok, exp(v) AS p FROM (SELECT attempt_id, source, unnest(full_generation_logprobs) AS v, generate_subscripts(full_generation_logprobs, 1) AS k FROM a WHERE full_generation_logprobs IS NOT NULL)),
@@ -380,12 +382,13 @@ SQL = {
     "first_appearance": f"{E_} SELECT worker, row_number() OVER (ORDER BY min(us), worker) - 1 AS node FROM e GROUP BY worker",
     "chunk_plan": f"""WITH {A}, n AS (SELECT source, count(*) AS n FROM a GROUP BY 1), p AS (SELECT source, n, CASE WHEN 400 > n THEN least(greatest(1, n // 4), 8) ELSE n // 50 END AS chunks FROM n)
         SELECT source, n, chunks, ceil(n / chunks)::BIGINT AS largest FROM p""",
-    "index_hashes": f"""WITH {T} SELECT group_id, sha256(string_agg(sample_id, ',' ORDER BY sample_id)) AS ids_hash, ('0x' || substr(sha1(group_id), 1, 15))::BIGINT AS number
-        FROM t WHERE group_id <> 'ungrouped' GROUP BY 1""",
+    "index_hashes": f"""WITH {T} SELECT group_id, sum(('0x' || substr(md5(sample_id::VARCHAR), 1, 8))::BIGINT)::BIGINT AS ids_hash, ('0x' || substr(sha1(group_id), 1, 15))::BIGINT AS number
+        FROM t WHERE group_id IS NOT NULL GROUP BY 1""",
     "review_cost": f"""WITH {A}, b AS (SELECT iteration_created AS iteration, coalesce(sum(length(review_cot)), 0) / 1000 AS cost FROM a WHERE iteration_created IS NOT NULL GROUP BY 1), c AS (SELECT iteration, cost, sum(cost) OVER (ORDER BY iteration) AS f FROM b)
         SELECT iteration, round(cost, 3) AS cost, round(f, 3) AS so_far, f > 100 AS over FROM c""".replace("AS over", 'AS "over"'),
     "prompts_with_extras": f"WITH {S} SELECT rec_id, md5(coalesce(header, '') || coalesce(theorem, '') || CASE WHEN tag = 'conjecture' THEN chr(10) || '-- conjectured' ELSE '' END) AS prompt_md5 FROM s",
     "conjectures_as_statements": f"WITH {C} SELECT rec_id, substr(sha256(rec_id::VARCHAR), 1, 8) AS id, md5(conjecture) AS theorem_md5, 'conjecture' AS tag FROM c WHERE conjecture IS NOT NULL",
+    "few_shot_headers": FEW_SHOT.replace("SELECT id, rank::INT AS rank, example FROM f WHERE rank <= 3", "SELECT f.id, md5(string_agg(s.theorem, chr(10) || chr(10) ORDER BY rank)) AS header_md5 FROM f JOIN s ON s.id = example WHERE rank <= 3 GROUP BY f.id"),
     "reply_keys": f"WITH {A} SELECT attempt_id, len(list_filter(json_keys(verification_dict::JSON), lambda k: k IN ('pass', 'complete', 'system_errors'))) AS n_kept FROM a WHERE verification_dict IS NOT NULL",
     "two_phases": f"""WITH {A} SELECT 'first' AS save, count(*) AS n, 0::BIGINT AS with_verdict, 0::BIGINT AS correct FROM a WHERE statement_id IS NOT NULL
         UNION ALL SELECT 'second', count(*), count(*), count(*) FILTER (ok) FROM a WHERE statement_id IS NOT NULL""",

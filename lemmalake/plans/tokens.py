@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lemmalake.functions import scores as M
+from lemmalake.operators.order import previous
 from lemmalake.plans.base import C, T, conjectures, samples
 from lemmalake.sources.tables import table
 
@@ -32,8 +33,8 @@ def masked_ratios(spark: SparkSession, folder: str) -> DataFrame:
     """Ratios of token probabilities of neighbouring samples of a group, by token, the later one as the new policy and the one before as the old
     one: clamped to 0.8..1.2 where both have the token, 1 where one hasn't; their mean, and how many were clamped at either end."""
     t = samples(spark, folder, "group_id", "log_prob_over_gen").where("group_id <> 'ungrouped' AND size(log_prob_over_gen) > 0")
-    w = Window.partitionBy("group_id").orderBy("sample_id")
-    t = t.select("sample_id", F.col("log_prob_over_gen").alias("new"), F.lag("log_prob_over_gen").over(w).alias("old")).where("old IS NOT NULL")
+    t = previous(t, "group_id", ["sample_id"], ["log_prob_over_gen"])
+    t = t.select("sample_id", F.col("log_prob_over_gen").alias("new"), F.col("before.log_prob_over_gen").alias("old")).where("old IS NOT NULL")
     raw = F.zip_with("new", "old", lambda a, b: F.exp(a - b))
     both = F.filter(raw, lambda r: r.isNotNull())
     clamped = F.transform(raw, lambda r: F.when(r.isNotNull(), F.greatest(F.lit(0.8), F.least(F.lit(1.2), r))).otherwise(1.0))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lemmalake.operators.dedup import first_of
 from lemmalake.operators.intervals import clamp, lanes, peak, repaired
-from lemmalake.operators.order import ordinals
+from lemmalake.operators.order import ordinals, previous
 from lemmalake.plans.base import A, attempts
 from lemmalake.sources.tables import table
 
@@ -114,11 +114,12 @@ def system_summary(spark: SparkSession, folder: str) -> DataFrame:
 
 def gauge_deltas(spark: SparkSession, folder: str) -> DataFrame:
     """Of each sample of a worker the change since the one before, by second, between 0 and 100, and since the first."""
-    w = Window.partitionBy("worker").orderBy("us", "event_id")
-    dt = F.greatest((F.col("us") - F.lag("us").over(w)) / 1e6, F.lit(1e-6))
-    change = clamp((F.col("value") - F.lag("value").over(w)) / dt, 0.0, 100.0)
-    first = F.col("value") - F.first("value").over(w)
-    return events(spark, folder).select("event_id", F.when(F.lag("us").over(w).isNotNull(), F.round(change, 6)).alias("rate"), F.round(first, 6).alias("since_first"))
+    e = previous(events(spark, folder).select("event_id", "worker", "us", "value"), "worker", ["us", "event_id"], ["us", "value"])
+    first = e.groupBy(F.col("worker").alias("of")).agg(F.min_by("value", F.struct("us", "event_id")).alias("first"))
+    dt = F.greatest((F.col("us") - F.col("before.us")) / 1e6, F.lit(1e-6))
+    change = clamp((F.col("value") - F.col("before.value")) / dt, 0.0, 100.0)
+    e = e.join(first, F.col("worker").eqNullSafe(F.col("of")))
+    return e.select("event_id", F.when(F.col("before").isNotNull(), F.round(change, 6)).alias("rate"), F.round(F.col("value") - F.col("first"), 6).alias("since_first"))
 
 
 def top_processes(spark: SparkSession, folder: str) -> DataFrame:

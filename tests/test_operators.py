@@ -115,6 +115,19 @@ def test_chunks(spark, n, chunks):
     assert [got[k] for k in range(n)] == want
 
 
+def test_previous(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice(["hot", "hot", "hot", "b", None]), k, k * 10) for k in rng.sample(range(500), 300)]
+    df = spark.createDataFrame(rows, "g string, k int, v int")
+    got = {r.k: (r.before and r.before.v) for r in order.previous(df, "g", ["k"], ["v"]).collect()}
+    want, last = {}, {}
+    for g, k, v in sorted(rows, key=lambda r: r[1]):
+        want[k] = last.get(g)
+        last[g] = v
+    assert got == want
+    assert order.previous(df.where("false"), "g", ["k"], ["v"]).count() == 0
+
+
 def test_level(spark):
     rng = random.Random(4)
     for _ in range(3):
