@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -68,17 +70,32 @@ def tagged_number(c: Column, name: str) -> Column:
     return F.when(inner.rlike(r"^[+-]?(\d+\.?\d*([eE][+-]?\d+)?|\.\d+([eE][+-]?\d+)?|inf|infinity|nan|Inf|NaN|Infinity)$"), inner.try_cast("double"))
 
 
+def let(value: Column, of: Callable[[Column], Column]) -> Column:
+    """An expression of a value that is computed once, however often the expression has it."""
+    return F.transform(F.array(value), of)[0]
+
+
 def header_and_body(c: Column) -> tuple[Column, Column]:
     """A file's header and the rest. The header is its leading import, set_option, open and blank lines, trimmed, each once and in order,
     behind one `import Mathlib` for all lines that begin so; two line ends follow it."""
-    lines = F.split(c, r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]")
-    lines = F.when(F.element_at(lines, -1) == "", F.slice(lines, 1, F.size(lines) - 1)).otherwise(lines)
-    other = F.array_position(F.transform(lines, lambda x: strip(x).rlike("^((import|set_option|open) |$)")), False).cast("int")
-    n = F.when(other > 0, other - 1).otherwise(F.size(lines))
-    head = F.filter(F.transform(F.slice(lines, F.lit(1), n), strip), lambda x: x != "")
-    rest = F.array_distinct(F.filter(head, lambda x: ~x.startswith("import Mathlib")))
-    first = F.when(F.exists(head, lambda x: x.startswith("import Mathlib")), F.array(F.lit("import Mathlib"))).otherwise(F.array().cast("array<string>"))
-    return F.concat(F.array_join(F.concat(first, rest), "\n"), F.lit("\n\n")), F.array_join(F.slice(lines, n + 1, F.size(lines)), "\n")
+    split = F.split(c, r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]")
+    lines = let(split, lambda x: F.when(F.element_at(x, -1) == "", F.slice(x, 1, F.size(x) - 1)).otherwise(x))
+
+    def size(x: Column) -> Column:
+        other = F.array_position(F.transform(x, lambda y: strip(y).rlike("^((import|set_option|open) |$)")), False).cast("int")
+        return let(other, lambda k: F.when(k > 0, k - 1).otherwise(F.size(x)))
+
+    def header(head: Column) -> Column:
+        rest = F.array_distinct(F.filter(head, lambda y: ~y.startswith("import Mathlib")))
+        first = F.when(F.exists(head, lambda y: y.startswith("import Mathlib")), F.array(F.lit("import Mathlib"))).otherwise(F.array().cast("array<string>"))
+        return F.concat(F.array_join(F.concat(first, rest), "\n"), F.lit("\n\n"))
+
+    def parts(x: Column, n: Column) -> Column:
+        head = F.filter(F.transform(F.slice(x, F.lit(1), n), strip), lambda y: y != "")
+        return F.struct(let(head, header).alias("header"), F.array_join(F.slice(x, n + 1, F.size(x)), "\n").alias("body"))
+
+    both = let(lines, lambda x: let(size(x), lambda n: parts(x, n)))
+    return both.getField("header"), both.getField("body")
 
 
 def before_fence(c: Column) -> Column:

@@ -101,9 +101,9 @@ def pass_at_k_bootstrap(spark: SparkSession, folder: str) -> DataFrame:
     The k-th draw of a sample is the same for all larger k, so that one pass gives the first hit of each statement and sample."""
     r = rates(spark, folder).where("n > 0").select("id", "n", "correct")
     draws = r.select("*", F.explode(F.sequence(F.lit(0), F.lit(99))).alias("sample"))
-    drawn = lambda d: F.conv(F.substring(F.md5(F.concat_ws("/", "id", F.col("sample").cast("string"), d.cast("string"))), 1, 8), 16, 10).cast("long")
-    ks = F.sequence(F.lit(1), F.lit(ASKED))
-    draws = draws.withColumn("first", F.array_position(F.transform(ks, lambda d: drawn(d) % F.col("n") < F.col("correct")), True))
+    drawn = lambda d: F.conv(F.substring(F.md5(F.concat_ws("/", "id", F.col("sample").cast("string"), F.lit(str(d)))), 1, 8), 16, 10).cast("long")
+    hits = [F.when(drawn(d) % F.col("n") < F.col("correct"), F.lit(d)) for d in range(1, ASKED + 1)]
+    draws = draws.withColumn("first", F.when(F.col("correct") > 0, F.coalesce(*hits)))
     rate = draws.groupBy("sample").agg(F.count("*").alias("n"), *[F.count_if((F.col("first") > 0) & (F.col("first") <= k)).alias(f"h{k}") for k in range(1, ASKED + 1)])
     rate = rate.select("n", F.posexplode(F.array(*[f"h{k}" for k in range(1, ASKED + 1)])).alias("k", "h")).select((F.col("k") + 1).alias("k"), (F.col("h") / F.col("n")).alias("p"))
     return rate.groupBy("k").agg(*[F.round(f("p"), 6).alias(name) for f, name in ((F.avg, "mean_rate"), (F.min, "lowest"), (F.max, "highest"))])
