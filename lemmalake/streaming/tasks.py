@@ -54,7 +54,7 @@ def windows(spark: SparkSession, folder: str, files: int = FILES) -> DataFrame:
 
 
 def unseen(spark: SparkSession, folder: str, files: int = FILES) -> DataFrame:
-    """The tasks with a result, each once, when its first one comes: what a verifier is handed."""
+    """The tasks with a result, each once, when its first one comes: what a verifier is handed. The state holds the number of every task seen."""
     return run(stream(spark, folder, files).where("event_type = 'purchase' AND task IS NOT NULL").select("task").dropDuplicates(["task"]), "append")
 
 
